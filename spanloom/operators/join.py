@@ -102,8 +102,12 @@ def map_overlaps(left: DataFrame, right: DataFrame, aggregates: Sequence[Column]
     """
     shape = left.select(SEQ, START, END).distinct()
     out = overlap_pairs(shape, right, **kw).groupBy(SEQ, START, END).agg(*aggregates)
-    out = _geometry_join(left, out, "left")
-    return out.fillna(fill) if fill else out
+    return fill_null(_geometry_join(left, out, "left"), fill or {})
+
+
+def fill_null(df: DataFrame, values: dict) -> DataFrame:
+    """Replace nulls, and only nulls: DataFrame.fillna would replace NaN as well."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in values.items()}) if values else df
 
 
 def map_scores(left: DataFrame, right: DataFrame, operations: Sequence[str], score: str = "score", order: Sequence[str] = (), **kw) -> DataFrame:
@@ -116,7 +120,7 @@ def map_scores(left: DataFrame, right: DataFrame, operations: Sequence[str], sco
     cols = list(dict.fromkeys([SEQ, START, END, score, *order]))
     out = map_overlaps(left, right.where(F.col(score).isNotNull()).select(*cols), A.operations(operations, x, by), **kw)
     fill = {f"score_{n}": v for n, v in (("sum", 0.0), ("collapse", "")) if n in operations}
-    return out.fillna(fill) if fill else out
+    return fill_null(out, fill)
 
 
 def left_grouped(left: DataFrame, right: DataFrame, name: str = "overlaps", **kw) -> DataFrame:
@@ -161,4 +165,4 @@ def weighted_mean_overlaps(left: DataFrame, right: DataFrame, score: str = "scor
     """Per left row the mean score weighted by overlap width; 0.0 where nothing overlaps."""
     w = overlap_width(START, END, f"r_{START}", f"r_{END}").cast("double")
     out = map_overlaps(left, right.where(F.col(score).isNotNull()).select(SEQ, START, END, score), [A.weighted_mean(F.col("r_" + score).cast("double"), w).alias(name)], **kw)
-    return out.fillna({name: 0.0})
+    return fill_null(out, {name: 0.0})

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import bounded_broadcast
+from ..model import lookup_join
 from ..session import cut_lineage
 
 
@@ -40,8 +40,8 @@ def direct(child: Entity, ref: Reference, parent: Entity) -> DataFrame:
     """(row_id, time, status) of the child's rows whose reference has no valid target.
 
     A reference with a null column is none.  Targets are reduced to one row per key, with the spans in which it is
-    valid, before the join; that side is broadcast only if a limited count proves it small, otherwise adaptive
-    execution splits the hot keys of the sort-merge join.  Rows without a time can only be 'missing'.
+    valid, before the join; that side is broadcast only if a limited count proves it small, otherwise every key is
+    spread over several parts.  Rows without a time can only be 'missing'.
     """
     names = [f"_p{i}" for i in range(len(ref.columns))]
     key = [F.col(c).alias(n) for c, n in zip(ref.parent_columns, names)]
@@ -55,8 +55,7 @@ def direct(child: Entity, ref: Reference, parent: Entity) -> DataFrame:
     for c in ref.columns:
         rows = rows.where(F.col(c).isNotNull())
     rows = rows.select(F.col(child.row_id).alias("row_id"), time.alias("time"), *[F.col(c).alias("_c" + n) for c, n in zip(ref.columns, names)])
-    on = [F.col("_c" + n) == F.col(n) for n in names]
-    j = rows.join(bounded_broadcast(targets.withColumn("_hit", F.lit(True))), on, "left")
+    j = lookup_join(rows, targets.withColumn("_hit", F.lit(True)), ["_c" + n for n in names], names, "left", "row_id")
     missing = F.col("_hit").isNull()
     if not ref.since:
         return j.where(missing).select("row_id", "time", F.lit("missing").alias("status"))
@@ -72,9 +71,9 @@ def _children_of(child: Entity, ref: Reference, parent: Entity, orphans: DataFra
     """Child rows whose referenced parent row is an orphan: a semi-join on the foreign key."""
     bad = orphans.select(F.col("row_id").alias("_bad"))
     lost = parent.df.join(bad, parent.df[parent.row_id] == F.col("_bad"), "left_semi").select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(ref.parent_columns)])
-    on = [child.df[c] == lost[f"_p{i}"] for i, c in enumerate(ref.columns)]
     time = F.col(child.time) if child.time else F.lit(None).cast("timestamp_ntz")
-    return child.df.join(lost, on, "left_semi").select(F.col(child.row_id).alias("row_id"), time.alias("time"))
+    keys = [f"_p{i}" for i in range(len(ref.columns))]
+    return lookup_join(child.df, lost.distinct(), ref.columns, keys, "left_semi", child.row_id).select(F.col(child.row_id).alias("row_id"), time.alias("time"))
 
 
 def _order(entities: Sequence[str], refs: Sequence[Reference]) -> list[str] | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.agg import finite
-from ..model import END, SEQ, START
+from ..model import END, SEQ, START, lookup_join
 from ..operators import hotkeys, orphans, periods, quantiles, rejects
 from .tables import table
 
@@ -63,8 +63,8 @@ def p1_join_profile(spark, d):
     files = table(spark, d, "bed_files").select(F.col("bed_id").alias("_b"), "genome")
 
     def side(name, *cols):
-        rows = table(spark, d, name).select("bed_id", SEQ, START, END, *cols)
-        return rows.join(files, rows["bed_id"] == files["_b"])
+        rows = table(spark, d, name).select("rid", "bed_id", SEQ, START, END, *cols)
+        return lookup_join(rows, files, ["bed_id"], ["_b"], "inner", "rid")
 
     width = F.when(F.col(END) > F.col(START), F.col(END) - F.col(START)).otherwise(0)
     score = F.when(finite(F.col("score")) & (F.abs("score") < 1e15), F.col("score")).cast("decimal(22,6)")
@@ -192,7 +192,7 @@ def _p5_graph(spark, d):
 
     def ranges(name):
         r = table(spark, d, name).select("rid", "bed_id", SEQ, "loaded_at")
-        return r.join(genome_of, r["bed_id"] == genome_of["_b"], "left").drop("_b")
+        return lookup_join(r, genome_of, ["bed_id"], ["_b"], "left", "rid").drop("_b")
 
     entities = [
         orphans.Entity("genomes", table(spark, d, "genomes"), "genome"),

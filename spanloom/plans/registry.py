@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, ranges
 
-QUERIES = dict(problems.QUERIES)
-SQL = dict(problems.SQL)
+QUERIES = dict(ranges.QUERIES) | dict(problems.QUERIES)
+SQL = dict(ranges.SQL) | dict(problems.SQL)
