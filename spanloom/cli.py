@@ -22,12 +22,14 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="spanloom", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
 
-    def command(name: str, *flags: str, **opts) -> argparse.ArgumentParser:
+    def command(name: str, *flags: str) -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         if "genome" in flags:
             c.add_argument("-g", "--genome", required=True)
-        for pos in (f for f in flags if f in ("bedfile", "left", "right")):
-            c.add_argument(f"--{pos}" if pos != "bedfile" else pos, required=True) if pos != "bedfile" else c.add_argument(pos)
+        if "bedfile" in flags:
+            c.add_argument("bedfile")
+        for side in (f for f in flags if f in ("left", "right")):
+            c.add_argument(f"--{side}", required=True)
         c.add_argument("-o", "--output")
         if "skip" in flags:
             c.add_argument("-s", "--skip-missing", action="store_true")
