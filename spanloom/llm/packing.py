@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .common import spread, words
 
 CAPACITY = 2048
@@ -178,7 +179,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     are documents like others.  container_id is that of the piece that starts the container, "doc:piece", so it does
     not depend on how tasks are cut.  Needs a unique, non-null doc_id.
     """
-    tok = tokenized(docs, doc_id, text, tokenizer_path)
+    tok = cut_lineage(tokenized(docs, doc_id, text, tokenizer_path))  # read three times: counts, range bounds, packing
     total, df = term_frequencies(tok)
     idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
     spark = docs.sparkSession
