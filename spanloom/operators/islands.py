@@ -1,7 +1,7 @@
 """Gaps and islands without a task per key.
 
-Rows are cut by their *start* into stripes of fixed width, so a key with a third of all rows spreads over as many
-tasks as it has stripes.  What one stripe must know of those before it is one number, the largest end so far; that
+Starts are cut into stripes of fixed width, so a key with a third of all rows spreads over as many tasks as it has
+stripes, and a stripe with a third of all rows is at most as many distinct starts as it is wide.  What one stripe must know of those before it is one number, the largest end so far; that
 comes from a table with one row per key and stripe, over which a window per key is small.  No range is copied into
 several stripes, however long it is.
 """
@@ -29,21 +29,35 @@ def carry_in(df: DataFrame, keys: Sequence[str], end: str = END) -> DataFrame:
     return df.groupBy(*keys, "_stripe").agg(F.max(end).alias("_most")).select(*keys, "_stripe", F.max("_most").over(before).alias("_carry"))
 
 
+def valid_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rows = df.where(F.coalesce(F.col(END) > F.col(START), F.lit(False)))
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    return rows
+
+
 def assign_islands(df: DataFrame, distance: int = 0, keys: Sequence[str] = (SEQ,), stripe: int = STRIPE, name: str = "island_start") -> DataFrame:
     """Add the start of the island that each row belongs to.
 
     Rows of one key belong together while the gap from the running maximum of the ends to the next start is at most
-    ``distance`` (>= 0).  Rows with a null key or bound and empty or inverted rows are left out.
+    ``distance`` (>= 0).  Rows with a null key or bound and empty or inverted rows are left out.  Islands are found
+    over the distinct starts with their largest end, which are at most ``stripe`` per stripe however many rows lie
+    there, and joined back to the rows by key and start.
     """
     if distance < 0:
         raise ValueError("negative distances need the ordered fold, see merge")
     keys = list(keys)
-    rows = df.where(F.coalesce(F.col(END) > F.col(START), F.lit(False)))
-    for k in keys:
-        rows = rows.where(F.col(k).isNotNull())
-    rows = rows.withColumn("_stripe", stripe_of(START, stripe))
+    rows = valid_rows(df, keys)
+    shape = rows.groupBy(*keys, START).agg(F.max(END).alias(END))
+    return rows.join(shape_islands(shape, distance, keys, stripe, name).select(*keys, START, name), [*keys, START])
+
+
+def shape_islands(shape: DataFrame, distance: int, keys: Sequence[str], stripe: int, name: str) -> DataFrame:
+    """assign_islands for valid rows with distinct starts per key."""
+    keys = list(keys)
+    rows = shape.withColumn("_stripe", stripe_of(START, stripe))
     rows = rows.join(carry_in(rows, keys), [*keys, "_stripe"])
-    order = Window.partitionBy(*keys, "_stripe").orderBy(START, END)
+    order = Window.partitionBy(*keys, "_stripe").orderBy(START)
     seen = F.greatest(F.col("_carry"), F.max(END).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("_seen", seen)
     rows = rows.withColumn("_new", F.when(F.col("_seen").isNull() | (F.col(START) > F.col("_seen") + F.lit(distance)), F.col(START)))

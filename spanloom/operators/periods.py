@@ -7,17 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arith import valid_range
 from ..model import END, SEQ, START
-from .islands import STRIPE, assign_islands, next_position, stripe_of
-
-#: Planner flag: sessions are also merged before the shuffle.
-LOCAL_MERGE = "spark.sql.sessionWindow.merge.sessions.in.local.partition"
+from .islands import STRIPE, next_position, shape_islands, stripe_of, valid_rows
 
 
 def session_periods(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Overlapping ranges of a key merged by session windows: a position is a microsecond, a range's width its gap."""
-    rows.sparkSession.conf.set(LOCAL_MERGE, "true")
     gap = F.make_interval(secs=F.expr(f"CAST(({END} - {START}) * 0.000001BD AS DECIMAL(18,6))"))
     window = F.session_window(F.timestamp_micros(F.col(START)), gap)
     merged = rows.groupBy(*keys, window.alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
@@ -28,16 +23,14 @@ def periods(df: DataFrame, keys: Sequence[str] = (SEQ,), stripe: int = STRIPE) -
     """(keys, range_start, range_end): maximal stretches that the ranges of a key cover without a gap.
 
     Touching ranges belong to one period.  Rows with a null key or bound and empty or inverted ranges are left out;
-    no rows give no periods.  Sessions are built per key and stripe of the start, so that a hot key is many groups;
-    then touching sessions and those that earlier stripes reach into are joined up (see islands).
+    no rows give no periods.  Equal starts are reduced to the longest range first; sessions are built per key and
+    stripe of the start, so that a hot key is many groups and none holds more starts than a stripe is wide; then touching sessions and those that earlier stripes reach into are joined up (see islands).
     """
     keys = list(keys)
-    rows = df.where(valid_range(START, END))
-    for k in keys:
-        rows = rows.where(F.col(k).isNotNull())
-    rows = rows.select(*keys, F.col(START).cast("long").alias(START), F.col(END).cast("long").alias(END), stripe_of(START, stripe).alias("_part"))
+    rows = valid_rows(df, keys).select(*keys, F.col(START).cast("long").alias(START), F.col(END).cast("long").alias(END))
+    rows = rows.groupBy(*keys, START).agg(F.max(END).alias(END)).withColumn("_part", stripe_of(START, stripe))
     local = session_periods(rows, [*keys, "_part"]).drop("_part", "_n")
-    owned = assign_islands(local, 0, keys, stripe, "_island").withColumn("_stripe", stripe_of("_island", stripe))
+    owned = shape_islands(local, 0, keys, stripe, "_island").withColumn("_stripe", stripe_of("_island", stripe))
     out = owned.repartition(*keys, "_stripe").groupBy(*keys, "_stripe", "_island").agg(F.max(END).alias(END))
     return out.select(*keys, F.col("_island").alias(START), END)
 

@@ -45,15 +45,16 @@ def region_slices(ranges: DataFrame, chunks: DataFrame, chunk: int = CHUNK, name
     ok = slice_ok(START, END, "total")
     if out_of_bounds == "drop":
         got = got.where(ok)
-    else:
-        got = got.withColumn("total", F.when(ok, F.col("total")).otherwise(F.raise_error(F.lit("range exceeds its sequence")).cast("long")))
     lo = F.greatest(F.col(START) - F.col("chunk") * c, F.lit(0)).cast("int")
     hi = F.least(F.col(END) - F.col("chunk") * c, c).cast("int")
     piece = F.slice("chunk_values", lo + 1, hi - lo) if array else F.substring("chunk_text", lo + 1, hi - lo)
+    if out_of_bounds != "drop":  # part of the slice itself, so that column pruning cannot take the check away
+        kind = chunks.schema["chunk_values" if array else "chunk_text"].dataType
+        piece = F.when(ok, piece).otherwise(F.raise_error(F.lit("range exceeds its sequence")).cast(kind))
     parts = F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("k"), piece.alias("p"))))
     whole = F.transform(parts, lambda x: x["p"])
     whole = F.flatten(whole) if array else F.array_join(whole, "")
-    return ranges.join(got.groupBy("rid").agg(whole.alias(name), F.max("total").alias("_total")), "rid").drop("_total")
+    return ranges.join(got.groupBy("rid").agg(whole.alias(name)), "rid")
 
 
 def region_map(ranges: DataFrame, chunks: DataFrame, f: Callable[[Column], Column], name: str = "value", **kw) -> DataFrame:

@@ -88,9 +88,9 @@ def p2_found(spark, d):
 
 
 P2_FOUND = """
-WITH s AS (SELECT bed_id, seqname, range_start, range_end, max(range_end) OVER (PARTITION BY bed_id, seqname ORDER BY range_start, range_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+WITH s AS (SELECT rid, bed_id, seqname, range_start, range_end, max(range_end) OVER (PARTITION BY bed_id, seqname ORDER BY range_start, range_end, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
   FROM bed3_ranges WHERE seqname IS NOT NULL AND range_end > range_start),
-i AS (SELECT *, sum(CASE WHEN seen IS NULL OR range_start > seen THEN 1 ELSE 0 END) OVER (PARTITION BY bed_id, seqname ORDER BY range_start, range_end ROWS UNBOUNDED PRECEDING) AS g FROM s),
+i AS (SELECT *, sum(CASE WHEN seen IS NULL OR range_start > seen THEN 1 ELSE 0 END) OVER (PARTITION BY bed_id, seqname ORDER BY range_start, range_end, rid ROWS UNBOUNDED PRECEDING) AS g FROM s),
 p AS (SELECT bed_id, seqname, min(range_start) AS range_start, max(range_end) AS range_end FROM i GROUP BY bed_id, seqname, g),
 n AS (SELECT *, lead(range_start) OVER (PARTITION BY bed_id, seqname ORDER BY range_start) AS nxt FROM p)
 SELECT bed_id, seqname, 'period' AS kind, range_start, range_end FROM n

@@ -69,7 +69,7 @@ def test_merge_edges(ranges, rows):
 
 
 def test_hot_key_spreads(ranges):
-    """One key with all rows still gives many window partitions."""
+    """A chain through many stripes of one key is one island."""
     df = ranges([("a", i * 100, i * 100 + 150) for i in range(500)])
     out = assign_islands(df, 0, stripe=1000)
     assert {r[0] for r in out.select("island_start").distinct().collect()} == {0}
