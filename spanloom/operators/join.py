@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import agg as A
-from ..functions.arith import overlap_width, valid_range
-from ..model import END, SEQ, START
+from ..functions.arith import overlap_width, valid_range, window_ids
+from ..model import END, LENGTH, SEQ, START, RangeFrame, bounded_broadcast
 
 #: Bins that a range may touch on one level before it moves to a coarser one, and the growth of bins from level to level.
 MAX_BINS, GROWTH = 16, 64
@@ -48,9 +48,11 @@ def _bins(df: DataFrame, level: int, bin_size: int) -> DataFrame:
     return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / b).cast("long"), F.floor((F.col("_e") - 1) / b).cast("long"))))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, bin_size: int | None = None, levels: int | None = None, right_prefix: str = "r_") -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, bin_size: int | None = None, levels: int | None = None, right_prefix: str = "r_", exists: bool = False) -> DataFrame:
     """Flat inner overlap join: every pair once, left columns as they are, right ones with ``right_prefix``.
 
+    With ``exists`` no pairs are formed: the left rows that overlap something, once per bin in which they do.
+
     Strict half-open overlap on equal seqname.  Rows with null or empty ranges or a null name pair with nothing.
     A caller who gives ``bin_size`` also bounds the levels (1 unless given): then no statistics are read.
     Left columns whose names begin like renamed right ones keep their values, as the right side is renamed first.
@@ -64,23 +66,25 @@ def overlap_pairs(left: DataFrame, right: DataFrame, bin_size: int | None = None
     ls = left.where(valid_range(START, END) & F.col(SEQ).isNotNull()).withColumns({"_s": F.col(START).cast("long"), "_e": F.col(END).cast("long")})
     rs = right.where(valid_range(START, END) & F.col(SEQ).isNotNull())
     rs = rs.select(*[F.col(c).alias(right_prefix + c) for c in right.columns], F.col(SEQ).alias("_rq"), F.col(START).cast("long").alias("_s"), F.col(END).cast("long").alias("_e"))
-    keep = [*left.columns, *[right_prefix + c for c in right.columns]]
+    keep = left.columns if exists else [*left.columns, *[right_prefix + c for c in right.columns]]
     if levels == 1:
-        return _meet(_bins(ls, 0, bin_size), _bins(rs, 0, bin_size), bin_size, keep)
+        return _meet(_bins(ls, 0, bin_size), _bins(rs, 0, bin_size), bin_size, keep, exists)
     own = _own_level(bin_size, levels)
     ls, rs, out = ls.withColumn("_lv", own), rs.withColumn("_lv", own), None
     for k in range(levels):  # a pair meets on the coarser of its two levels
         b = bin_size * GROWTH**k
-        at = _meet(_bins(ls.where(F.col("_lv") == k), k, bin_size), _bins(rs.where(F.col("_lv") <= k), k, bin_size), b, keep)
+        at = _meet(_bins(ls.where(F.col("_lv") == k), k, bin_size), _bins(rs.where(F.col("_lv") <= k), k, bin_size), b, keep, exists)
         if k:
-            at = at.unionAll(_meet(_bins(ls.where(F.col("_lv") < k), k, bin_size), _bins(rs.where(F.col("_lv") == k), k, bin_size), b, keep))
+            at = at.unionAll(_meet(_bins(ls.where(F.col("_lv") < k), k, bin_size), _bins(rs.where(F.col("_lv") == k), k, bin_size), b, keep, exists))
         out = at if out is None else out.unionAll(at)
     return out
 
 
-def _meet(lb: DataFrame, rb: DataFrame, b: int, keep: Sequence[str]) -> DataFrame:
+def _meet(lb: DataFrame, rb: DataFrame, b: int, keep: Sequence[str], exists: bool) -> DataFrame:
     rb = rb.withColumnsRenamed({"_s": "_rs", "_e": "_re", "_bin": "_rbin"})
     on = (lb[SEQ] == rb["_rq"]) & (lb["_bin"] == rb["_rbin"]) & (lb["_s"] < rb["_re"]) & (rb["_rs"] < lb["_e"])
+    if exists:
+        return lb.join(rb, on, "left_semi").select(*keep)
     on &= F.floor(F.greatest(lb["_s"], rb["_rs"]) / F.lit(b)) == lb["_bin"]
     return lb.join(rb, on).select(*keep)
 
@@ -93,14 +97,15 @@ def _geometry_join(left: DataFrame, table: DataFrame, how: str) -> DataFrame:
     return out if how in ("left_semi", "left_anti") else out.drop("_gq", "_gs", "_ge")
 
 
-def map_overlaps(left: DataFrame, right: DataFrame, aggregates: Sequence[Column], fill: dict | None = None, **kw) -> DataFrame:
+def map_overlaps(left: DataFrame, right: DataFrame, aggregates: Sequence[Column], fill: dict | None = None, distinct: bool = False, **kw) -> DataFrame:
     """One row per left row with aggregates over its overlapping right rows (left outer grouped join).
 
     ``aggregates`` refer to right columns by their prefixed names and to the left geometry.  Groups are formed per
     distinct geometry, with partial aggregation before the shuffle.  Left rows without a match get null, or the
-    values of ``fill``.
+    values of ``fill``.  ``distinct`` says that no left geometry repeats, as with windows, and saves a shuffle.
     """
-    shape = left.select(SEQ, START, END).distinct()
+    shape = left.select(SEQ, START, END)
+    shape = shape if distinct else shape.distinct()
     out = overlap_pairs(shape, right, **kw).groupBy(SEQ, START, END).agg(*aggregates)
     return fill_null(_geometry_join(left, out, "left"), fill or {})
 
@@ -123,6 +128,20 @@ def map_scores(left: DataFrame, right: DataFrame, operations: Sequence[str], sco
     return fill_null(out, fill)
 
 
+def map_windows(right: DataFrame, seqlens: DataFrame, width: int, operations: Sequence[str], step: int | None = None, chop: bool = False, score: str = "score", order: Sequence[str] = ()) -> DataFrame:
+    """map_scores over all regular windows of the genome.  The windows that a range overlaps follow from its
+    coordinates and the length of the sequence, so the ranges are not joined with the windows, only their aggregates."""
+    step, x = step or width, F.col(score).cast("double")
+    dim = bounded_broadcast(seqlens.select(F.col(SEQ).alias("_k"), F.col(LENGTH).alias("_len")))
+    rows = right.where(F.col(score).isNotNull() & valid_range(START, END)).select(SEQ, START, END, score, *order)
+    rows = rows.join(dim, F.col(SEQ) == F.col("_k")).where(F.col(START) < F.col("_len"))
+    rows = rows.withColumn("_w", F.explode(window_ids(START, F.least(END, "_len"), width, step)))
+    got = rows.groupBy(SEQ, (F.col("_w") * step).alias("_lo")).agg(*A.operations(operations, x, [F.col(START), F.col(END), *map(F.col, order)]))
+    windows = RangeFrame.from_windows(seqlens, width, step, chop).df
+    out = windows.join(got.withColumnRenamed(SEQ, "_gq"), (F.col(SEQ) == F.col("_gq")) & (F.col(START) == F.col("_lo")), "left").drop("_gq", "_lo")
+    return fill_null(out, {f"score_{n}": v for n, v in (("sum", 0.0), ("collapse", "")) if n in operations})
+
+
 def left_grouped(left: DataFrame, right: DataFrame, name: str = "overlaps", **kw) -> DataFrame:
     """One row per left row with the array of its overlapping right rows, sorted by start, end and the other columns.
 
@@ -147,8 +166,8 @@ def overlap_stats(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
 
 
 def _matched(left: DataFrame, right: DataFrame, bin_size: int | None, levels: int | None) -> DataFrame:
-    shape = left.select(SEQ, START, END).distinct()
-    return overlap_pairs(shape, right.select(SEQ, START, END), bin_size, levels).select(SEQ, START, END).distinct()
+    """Distinct left geometries that overlap something."""
+    return overlap_pairs(left.select(SEQ, START, END), right.select(SEQ, START, END), bin_size, levels, exists=True).distinct()
 
 
 def semi(left: DataFrame, right: DataFrame, bin_size: int | None = None, levels: int | None = None) -> DataFrame:

@@ -314,8 +314,7 @@ FROM {_windows_sql(MAP_WINDOW, MAP_WINDOW)} l LEFT JOIN (SELECT * FROM {BED5} WH
 
 
 def _map(spark, d, ops):
-    windows = RangeFrame.from_windows(seqlens(spark, d), MAP_WINDOW).df
-    out = join.map_scores(windows, bed5(spark, d).select(SEQ, START, END, "score", "rid"), ops, order=["rid"], bin_size=MAP_WINDOW)
+    out = join.map_windows(bed5(spark, d), seqlens(spark, d), MAP_WINDOW, ops)
     return out.withColumns({c: digits(F.col(c)) for c in out.columns if c in ("score_sum", "score_sum_not_empty", "score_mean", "score_median")})
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 
+from spanloom.model import RangeFrame
 from spanloom.operators import join
 
 TC01 = [("chr1", 0, 5), ("chr1", 4, 7), ("chr1", 10, 17), ("chr2", 10, 20), ("chr2", 18, 32)]
@@ -84,3 +85,15 @@ def test_equi_join_plan(ranges, spark):
 def test_left_grouped_order(ranges):
     got = join.left_grouped(ranges([("a", 0, 100)]), ranges([("a", 5, 9, 1), ("a", 2, 4, 2), ("a", 2, 4, 0)], "rid int")).first().overlaps
     assert [(x.range_start, x.rid) for x in got] == [(2, 0), (2, 2), (5, 1)]
+
+
+@pytest.mark.parametrize(("width", "step", "chop"), [(10, None, False), (10, 3, True), (7, 20, False)])
+def test_map_windows_equals_map(ranges, spark, width, step, chop):
+    """The form without a join agrees with the general one, empty windows and unknown names included."""
+    rng = random.Random(width)
+    right = ranges([(rng.choice(["a", "b", "zz", None]), s, s + rng.choice([0, 1, 4, 30]), rng.choice([None, 1.0, 2.0, 5.0]), i) for i, s in enumerate(rng.choices(range(60), k=60))], "score double, rid int")
+    lens = RangeFrame.seqlens_from(spark, {"a": 55, "b": 40, "c": 12})
+    ops = ["sum", "min", "max", "mean", "median", "collapse", "sum-not-empty"]
+    a = join.map_windows(right, lens, width, ops, step, chop, order=["rid"])
+    b = join.map_scores(RangeFrame.from_windows(lens, width, step, chop).df, right, ops, order=["rid"], distinct=True)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
