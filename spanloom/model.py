@@ -37,10 +37,10 @@ def lookup_join(fact: DataFrame, dim: DataFrame, fact_keys: Sequence[str], dim_k
         return fact.join(F.broadcast(dim), on, how)
     if spread_by is None:
         return fact.join(dim, on, how)
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    parts = dim.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    on = [salted[a] == parts[b] for a, b in zip(fact_keys, dim_keys)] + [salted["_salt"] == parts["_part"]]
-    return salted.join(parts, on, how).drop("_salt", "_part")
+    salted = fact.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    parts = dim.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    on = [salted[a] == parts[b] for a, b in zip(fact_keys, dim_keys)] + [salted["__salt"] == parts["__part"]]
+    return salted.join(parts, on, how).drop("__salt", "__part")
 
 
 class RangeFrame:
@@ -91,20 +91,20 @@ class RangeFrame:
             df = df.where(arith.valid_range(START, END))
         else:
             df = df.withColumn(END, F.when(arith.valid_range(START, END), F.col(END)).otherwise(F.raise_error(F.concat(F.lit("invalid range on "), F.coalesce(F.col(SEQ), F.lit("null")))).cast("long")))
-        names = bounded_broadcast(self.seqlens.select(F.col(SEQ).alias("_known")).distinct())
+        names = bounded_broadcast(self.seqlens.select(F.col(SEQ).alias("__known")).distinct())
         if missing == "drop":
-            df = df.join(names, df[SEQ] == names["_known"], "left_semi")
+            df = df.join(names, df[SEQ] == names["__known"], "left_semi")
         else:
-            df = df.join(names, df[SEQ] == names["_known"], "left")
-            df = df.withColumn(SEQ, F.when(F.col("_known").isNotNull(), F.col(SEQ)).otherwise(F.raise_error(F.concat(F.lit("unknown sequence "), F.coalesce(F.col(SEQ), F.lit("null")))).cast("string"))).drop("_known")
+            df = df.join(names, df[SEQ] == names["__known"], "left")
+            df = df.withColumn(SEQ, F.when(F.col("__known").isNotNull(), F.col(SEQ)).otherwise(F.raise_error(F.concat(F.lit("unknown sequence "), F.coalesce(F.col(SEQ), F.lit("null")))).cast("string"))).drop("__known")
         return RangeFrame(df, self.seqlens)
 
     def validated(self) -> RangeFrame:
         """Opt-in: raise at run time for ranges that do not fit their sequence (start < end <= length)."""
         df = self.with_lengths()
-        ok = arith.slice_ok(START, END, "_len")
+        ok = arith.slice_ok(START, END, "__len")
         df = df.withColumn(END, F.when(ok, F.col(END)).otherwise(F.raise_error(F.lit(RangeOutOfBoundsError.__doc__)).cast("long")))
-        return RangeFrame(df.drop("_len"), self.seqlens)
+        return RangeFrame(df.drop("__len"), self.seqlens)
 
     def require_names(self) -> RangeFrame:
         """Eager check: MissingSequenceError names up to five sequences that the genome does not hold."""
@@ -119,10 +119,10 @@ class RangeFrame:
             raise NoRowsError("the input has no rows")
         return self
 
-    def with_lengths(self, name: str = "_len") -> DataFrame:
+    def with_lengths(self, name: str = "__len") -> DataFrame:
         """The rows whose name is known, with the length of their sequence."""
-        dim = self.seqlens.select(F.col(SEQ).alias("_k"), F.col(LENGTH).alias(name))
-        return self.df.join(bounded_broadcast(dim), self.df[SEQ] == F.col("_k")).drop("_k")
+        dim = self.seqlens.select(F.col(SEQ).alias("__k"), F.col(LENGTH).alias(name))
+        return self.df.join(bounded_broadcast(dim), self.df[SEQ] == F.col("__k")).drop("__k")
 
     def _on(self, df: DataFrame) -> RangeFrame:
         return RangeFrame(df, self.seqlens)
@@ -162,23 +162,23 @@ class RangeFrame:
         """
         from .operators.ordering import with_position
 
-        left, right = with_position(self.df.select(*KEYS), order, "_pos"), with_position(values, value_order, "_pos")
+        left, right = with_position(self.df.select(*KEYS), order, "__pos"), with_position(values, value_order, "__pos")
         if left.count() != right.count():
             raise ValueError("the numbers of ranges and values differ")
-        return self._on(left.join(right, "_pos").drop("_pos"))
+        return self._on(left.join(right, "__pos").drop("__pos"))
 
     # ---- arithmetic -----------------------------------------------------------------------------------------
     def adjust_ranges(self, start_delta: int, end_delta: int) -> RangeFrame:
         """Move both bounds, clamp to the sequence and drop what becomes empty."""
-        lo, hi = arith.adjusted(START, END, start_delta, end_delta, "_len")
-        df = self.with_lengths().withColumns({"_lo": lo, "_hi": hi}).where("_hi > _lo")
-        return self._on(df.withColumns({START: F.col("_lo"), END: F.col("_hi")}).drop("_lo", "_hi", "_len"))
+        lo, hi = arith.adjusted(START, END, start_delta, end_delta, "__len")
+        df = self.with_lengths().withColumns({"__lo": lo, "__hi": hi}).where("__hi > __lo")
+        return self._on(df.withColumns({START: F.col("__lo"), END: F.col("__hi")}).drop("__lo", "__hi", "__len"))
 
     def flanking_ranges(self, left: int | None = None, right: int | None = None, side_column: str | None = None) -> RangeFrame:
         """Non-empty left and right flanks with the payload of their range."""
-        df = self.with_lengths().withColumn("_f", F.explode(arith.flanks(START, END, left, right, "_len")))
-        cols = {START: F.col("_f.start"), END: F.col("_f.end")} | ({side_column: F.col("_f.side")} if side_column else {})
-        return self._on(df.withColumns(cols).drop("_f", "_len"))
+        df = self.with_lengths().withColumn("__f", F.explode(arith.flanks(START, END, left, right, "__len")))
+        cols = {START: F.col("__f.start"), END: F.col("__f.end")} | ({side_column: F.col("__f.side")} if side_column else {})
+        return self._on(df.withColumns(cols).drop("__f", "__len"))
 
     def midpoints(self) -> DataFrame:
         return self.df.select(SEQ, arith.midpoint(START, END).alias("midpoint"))

@@ -47,7 +47,7 @@ def assign_islands(df: DataFrame, distance: int = 0, keys: Sequence[str] = (SEQ,
     if distance < 0:
         raise ValueError("negative distances need the ordered fold, see merge")
     keys = list(keys)
-    rows = valid_rows(df, keys)
+    rows = valid_rows(df.drop(name), keys)
     shape = rows.groupBy(*keys, START).agg(F.max(END).alias(END))
     return rows.join(shape_islands(shape, distance, keys, stripe, name).select(*keys, START, name), [*keys, START])
 

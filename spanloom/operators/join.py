@@ -37,7 +37,7 @@ def levels_for(bin_size: int, most: int) -> int:
 
 
 def _own_level(bin_size: int, levels: int) -> Column:
-    w, out = F.col("_e") - F.col("_s"), F.lit(levels - 1)
+    w, out = F.col("__e") - F.col("__s"), F.lit(levels - 1)
     for k in range(levels - 2, -1, -1):
         out = F.when(w <= F.lit(MAX_BINS * bin_size * GROWTH**k), F.lit(k)).otherwise(out)
     return out
@@ -45,7 +45,7 @@ def _own_level(bin_size: int, levels: int) -> Column:
 
 def _bins(df: DataFrame, level: int, bin_size: int) -> DataFrame:
     b = F.lit(bin_size * GROWTH**level)
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / b).cast("long"), F.floor((F.col("_e") - 1) / b).cast("long"))))
+    return df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__s") / b).cast("long"), F.floor((F.col("__e") - 1) / b).cast("long"))))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, bin_size: int | None = None, levels: int | None = None, right_prefix: str = "r_", exists: bool = False) -> DataFrame:
@@ -63,38 +63,38 @@ def overlap_pairs(left: DataFrame, right: DataFrame, bin_size: int | None = None
     levels = levels or 1
     if taken := {right_prefix + c for c in right.columns} & set(left.columns):
         raise ValueError(f"choose another right_prefix: {sorted(taken)}")
-    ls = left.where(valid_range(START, END) & F.col(SEQ).isNotNull()).withColumns({"_s": F.col(START).cast("long"), "_e": F.col(END).cast("long")})
+    ls = left.where(valid_range(START, END) & F.col(SEQ).isNotNull()).withColumns({"__s": F.col(START).cast("long"), "__e": F.col(END).cast("long")})
     rs = right.where(valid_range(START, END) & F.col(SEQ).isNotNull())
-    rs = rs.select(*[F.col(c).alias(right_prefix + c) for c in right.columns], F.col(SEQ).alias("_rq"), F.col(START).cast("long").alias("_s"), F.col(END).cast("long").alias("_e"))
+    rs = rs.select(*[F.col(c).alias(right_prefix + c) for c in right.columns], F.col(SEQ).alias("__rq"), F.col(START).cast("long").alias("__s"), F.col(END).cast("long").alias("__e"))
     keep = left.columns if exists else [*left.columns, *[right_prefix + c for c in right.columns]]
     if levels == 1:
         return _meet(_bins(ls, 0, bin_size), _bins(rs, 0, bin_size), bin_size, keep, exists)
     own = _own_level(bin_size, levels)
-    ls, rs, out = ls.withColumn("_lv", own), rs.withColumn("_lv", own), None
+    ls, rs, out = ls.withColumn("__lv", own), rs.withColumn("__lv", own), None
     for k in range(levels):  # a pair meets on the coarser of its two levels
         b = bin_size * GROWTH**k
-        at = _meet(_bins(ls.where(F.col("_lv") == k), k, bin_size), _bins(rs.where(F.col("_lv") <= k), k, bin_size), b, keep, exists)
+        at = _meet(_bins(ls.where(F.col("__lv") == k), k, bin_size), _bins(rs.where(F.col("__lv") <= k), k, bin_size), b, keep, exists)
         if k:
-            at = at.unionAll(_meet(_bins(ls.where(F.col("_lv") < k), k, bin_size), _bins(rs.where(F.col("_lv") == k), k, bin_size), b, keep, exists))
+            at = at.unionAll(_meet(_bins(ls.where(F.col("__lv") < k), k, bin_size), _bins(rs.where(F.col("__lv") == k), k, bin_size), b, keep, exists))
         out = at if out is None else out.unionAll(at)
     return out
 
 
 def _meet(lb: DataFrame, rb: DataFrame, b: int, keep: Sequence[str], exists: bool) -> DataFrame:
-    rb = rb.withColumnsRenamed({"_s": "_rs", "_e": "_re", "_bin": "_rbin"})
-    on = (lb[SEQ] == rb["_rq"]) & (lb["_bin"] == rb["_rbin"]) & (lb["_s"] < rb["_re"]) & (rb["_rs"] < lb["_e"])
+    rb = rb.withColumnsRenamed({"__s": "__rs", "__e": "__re", "__bin": "__rbin"})
+    on = (lb[SEQ] == rb["__rq"]) & (lb["__bin"] == rb["__rbin"]) & (lb["__s"] < rb["__re"]) & (rb["__rs"] < lb["__e"])
     if exists:
         return lb.join(rb, on, "left_semi").select(*keep)
-    on &= F.floor(F.greatest(lb["_s"], rb["_rs"]) / F.lit(b)) == lb["_bin"]
+    on &= F.floor(F.greatest(lb["__s"], rb["__rs"]) / F.lit(b)) == lb["__bin"]
     return lb.join(rb, on).select(*keep)
 
 
 def _geometry_join(left: DataFrame, table: DataFrame, how: str) -> DataFrame:
     """Join back on (seqname, start, end): results that depend on the geometry alone need no row id."""
-    t = table.withColumnsRenamed({SEQ: "_gq", START: "_gs", END: "_ge"})
-    on = (left[SEQ] == t["_gq"]) & (left[START] == t["_gs"]) & (left[END] == t["_ge"])
+    t = table.withColumnsRenamed({SEQ: "__gq", START: "__gs", END: "__ge"})
+    on = (left[SEQ] == t["__gq"]) & (left[START] == t["__gs"]) & (left[END] == t["__ge"])
     out = left.join(t, on, how)
-    return out if how in ("left_semi", "left_anti") else out.drop("_gq", "_gs", "_ge")
+    return out if how in ("left_semi", "left_anti") else out.drop("__gq", "__gs", "__ge")
 
 
 def map_overlaps(left: DataFrame, right: DataFrame, aggregates: Sequence[Column], fill: dict | None = None, distinct: bool = False, **kw) -> DataFrame:
@@ -132,13 +132,13 @@ def map_windows(right: DataFrame, seqlens: DataFrame, width: int, operations: Se
     """map_scores over all regular windows of the genome.  The windows that a range overlaps follow from its
     coordinates and the length of the sequence, so the ranges are not joined with the windows, only their aggregates."""
     step, x = step or width, F.col(score).cast("double")
-    dim = bounded_broadcast(seqlens.select(F.col(SEQ).alias("_k"), F.col(LENGTH).alias("_len")))
+    dim = bounded_broadcast(seqlens.select(F.col(SEQ).alias("__k"), F.col(LENGTH).alias("__len")))
     rows = right.where(F.col(score).isNotNull() & valid_range(START, END)).select(SEQ, START, END, score, *order)
-    rows = rows.join(dim, F.col(SEQ) == F.col("_k")).where(F.col(START) < F.col("_len"))
-    rows = rows.withColumn("_w", F.explode(window_ids(START, F.least(END, "_len"), width, step)))
-    got = rows.groupBy(SEQ, (F.col("_w") * step).alias("_lo")).agg(*A.operations(operations, x, [F.col(START), F.col(END), *map(F.col, order)]))
+    rows = rows.join(dim, F.col(SEQ) == F.col("__k")).where(F.col(START) < F.col("__len"))
+    rows = rows.withColumn("__w", F.explode(window_ids(START, F.least(END, "__len"), width, step)))
+    got = rows.groupBy(SEQ, (F.col("__w") * step).alias("__lo")).agg(*A.operations(operations, x, [F.col(START), F.col(END), *map(F.col, order)]))
     windows = RangeFrame.from_windows(seqlens, width, step, chop).df
-    out = windows.join(got.withColumnRenamed(SEQ, "_gq"), (F.col(SEQ) == F.col("_gq")) & (F.col(START) == F.col("_lo")), "left").drop("_gq", "_lo")
+    out = windows.join(got.withColumnRenamed(SEQ, "__gq"), (F.col(SEQ) == F.col("__gq")) & (F.col(START) == F.col("__lo")), "left").drop("__gq", "__lo")
     return fill_null(out, {f"score_{n}": v for n, v in (("sum", 0.0), ("collapse", "")) if n in operations})
 
 

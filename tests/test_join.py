@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 
 from spanloom.model import RangeFrame
@@ -97,3 +98,19 @@ def test_map_windows_equals_map(ranges, spark, width, step, chop):
     a = join.map_windows(right, lens, width, ops, step, chop, order=["rid"])
     b = join.map_scores(RangeFrame.from_windows(lens, width, step, chop).df, right, ops, order=["rid"], distinct=True)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_clashing_names(ranges):
+    """Columns that look like internal ones keep their values through every operator."""
+    extra = "_s long, _bin long, _len long, _stripe long, _island long, _own long, _w string, _k string, _lo long"
+    row = ("a", 3, 9, 1, 2, 3, 4, 5, 6, "x", "y", 7)
+    df = ranges([row, row], extra)
+    frame = RangeFrame(df, RangeFrame.seqlens_from(df.sparkSession, {"a": 100}))
+    tail = list(row[3:])
+    assert [list(r)[3:12] for r in join.overlap_pairs(df, ranges([("a", 1, 5)]), 4).collect()] == [tail] * 2
+    assert [list(r)[3:] for r in join.semi(df, ranges([("a", 1, 5)])).collect()] == [tail] * 2
+    assert [list(r)[3:] for r in join.anti(df, ranges([("b", 1, 5)])).collect()] == [tail] * 2
+    assert [list(r) for r in frame.adjust_ranges(-1, 1).df.collect()] == [["a", 2, 10, *tail]] * 2
+    assert [list(r) for r in frame.flanking_ranges(2).df.collect()] == [["a", 1, 3, *tail]] * 2
+    assert [tuple(r) for r in frame.merge(0).df.collect()] == [("a", 3, 9)]
+    assert [tuple(r) for r in frame.merge(0, [F.max("_own").alias("m")]).df.collect()] == [("a", 3, 9, 6)]
