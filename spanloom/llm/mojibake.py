@@ -33,8 +33,9 @@ PIECE = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f\xa0]|(?<=[^\x00-\x7f\xa0])\xa0)+")
 ESCAPE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
 
 #: A cheaper text must gain this much in cost, less if UTF-8 sequences were found, as those hardly arise by chance; a word
-#: of the same cost must be 2**RARER times as frequent.
-MARGIN, UTF8_MARGIN, RARER, SHORTEST = 1.5, 0.9, 4.0, 4
+#: of the same cost must be 2**RARER times as frequent.  No frequency of its own speaks for a form with UTF-8 sequences
+#: that gains STRONG, as such damage is as frequent as the word that it befalls.
+MARGIN, UTF8_MARGIN, RARER, SHORTEST, STRONG = 1.5, 0.9, 4.0, 4, 3.0
 EXPANSIONS, KEPT, DEEPEST = 12, 6, 4
 LONGEST = 64
 
@@ -289,17 +290,18 @@ def garbled_pieces(pieces: DataFrame, doc_id: str) -> DataFrame:
 
     found = forms.select("piece").repartition(tasks, "piece").mapInArrow(run, "piece string, marked boolean, reached string, cost double, operations string")
     found = found.join(frequency, F.lower("reached") == F.col("_form"), "left")
-    often = F.log2(F.coalesce("_df", F.lit(0)) + 1.0)  # ranks what was reached; as evidence of damage only for longer forms
-    known = F.when(F.length("reached") >= SHORTEST, often).otherwise(0.0)
+    often = F.log2(F.coalesce("_df", F.lit(0)) + 1.0)  # ranks what was reached; as evidence only if both forms are long
     own = F.col("operations") == ""
-    rows = found.select("piece", "marked", "reached", "cost", "operations", often.alias("often"), known.alias("known"), own.alias("own"))
+    rows = found.select("piece", "marked", "reached", "cost", "operations", often.alias("often"), own.alias("own"))
     each = rows.groupBy("piece").agg(
         F.max("marked").alias("marked"),
-        F.max(F.when(F.col("own"), F.struct("cost", "known"))).alias("was"),
-        F.min(F.when(~F.col("own"), F.struct((F.col("cost") - 0.5 * F.col("often") + STEP * F.size(F.split("operations", " "))).alias("k"), F.col("reached").alias("reached"), F.col("cost").alias("cost"), F.col("known").alias("known"), F.col("operations").alias("operations")))).alias("best"),
+        F.max(F.when(F.col("own"), F.struct("cost", "often"))).alias("was"),
+        F.min(F.when(~F.col("own"), F.struct((F.col("cost") - 0.5 * F.col("often") + STEP * F.size(F.split("operations", " "))).alias("k"), F.col("reached").alias("reached"), F.col("cost").alias("cost"), F.col("often").alias("often"), F.col("operations").alias("operations")))).alias("best"),
     )
-    gain, rarer = F.col("was.cost") - F.col("best.cost"), F.col("best.known") - F.col("was.known")
-    plain = (gain >= F.when(F.col("best.operations").contains("utf-8"), UTF8_MARGIN).otherwise(MARGIN)) & (rarer > -RARER)
+    both = F.least(F.length("piece"), F.length("best.reached")) >= SHORTEST
+    gain, rarer = F.col("was.cost") - F.col("best.cost"), F.when(both, F.col("best.often") - F.col("was.often")).otherwise(0.0)
+    utf8 = F.col("best.operations").contains("utf-8")
+    plain = (gain >= F.when(utf8, UTF8_MARGIN).otherwise(MARGIN)) & ((rarer > -RARER) | utf8 & (gain >= STRONG))
     common = (gain > -0.8) & (rarer >= RARER)
     better = F.coalesce(plain | common, F.lit(False))
     return each.where(F.col("marked") | better).select("piece", F.when(better, F.col("best.reached")).alias("restored"), F.when(better, F.col("best.operations")).alias("operations"))
