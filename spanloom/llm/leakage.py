@@ -7,7 +7,9 @@ Fingerprints are SimHashes of windows of words: each word has +-1 in every bit,
 the sign of the sum.  Weights are inverse document frequencies over the whole corpus; words that no item has weigh
 nothing.  A document's windows have the size of an item and start every ``stride`` words; their fingerprints are held
 against those of the items of that size within ``radius``.  Windows of ``run`` words are held against those of the items
-at radius 0.  Whatever comes within the radius is verified exactly.
+at radius 0, which gives every run.  No radius gives every altered passage, as a few rare words can outweigh the rest; so
+an item is also a candidate where ``share`` of its words, in any order, lie within ``stretch`` times its length: every
+such passage meets that.  Whatever comes up is verified exactly.
 """
 
 from __future__ import annotations
@@ -144,6 +146,11 @@ class ItemSet:
             prints = np.stack([self._pack(self.vectors[self.items[k]].sum(axis=0)[None])[0] for k in members])
             least = min(len(self.items[k]) for k in members)
             self.sizes[size] = (np.array(members), HammingBlocks(prints), max(1, int(self.rule.needed(least) / 2)))
+        # word -> items that have it and how often; bounds of word w are self.bounds[w : w + 2]
+        own = sorted((w, k, n) for k, item in enumerate(self.items) for w, n in Counter(item).items())
+        held = np.array(own, np.int64).reshape(-1, 3)
+        self.bounds, self.holder, self.times = np.searchsorted(held[:, 0], np.arange(len(self.number) + 1)), held[:, 1], held[:, 2]
+        self.need = np.array([self.rule.needed(len(item)) if item else np.iinfo(np.int64).max for item in self.items], np.int64)
         runs, owner = [], []
         for k, item in enumerate(self.items):
             sums = np.concatenate([np.zeros((1, self.rule.bits), np.int32), np.cumsum(self.vectors[item], axis=0, dtype=np.int32)]) if item else np.zeros((1, self.rule.bits), np.int32)
@@ -165,6 +172,20 @@ class ItemSet:
     def _pack(sums: np.ndarray) -> np.ndarray:
         return np.packbits(sums > 0, axis=1).view(np.uint64)
 
+    def sharing(self, text: np.ndarray) -> Iterator[int]:
+        """Items of whose words enough lie close enough together in the text, in any order: what every altered passage meets."""
+        w, c = np.unique(text[text >= 0], return_counts=True)
+        n = self.bounds[w + 1] - self.bounds[w]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bounds[w], n)
+        shared = np.bincount(self.holder[at], np.minimum(self.times[at], np.repeat(c, n)), minlength=len(self.items))
+        for k in np.flatnonzero(shared >= self.need).tolist():
+            has = np.zeros(len(self.number) + 1, bool)  # the last one, index -1, is that of all other words
+            has[self.items[k]] = True
+            upto = np.concatenate([[0], np.cumsum(has[text])])
+            longest = min(self.rule.longest(len(self.items[k])), len(text))
+            if (upto[longest:] - upto[: len(upto) - longest]).max() >= self.need[k]:
+                yield k
+
     def candidates(self, text: np.ndarray) -> set[int]:
         """Items that some window of the text comes near enough to."""
         rule, n, out = self.rule, len(text), set()
@@ -172,6 +193,7 @@ class ItemSet:
         upto = np.concatenate([[0], np.cumsum(known)])
         if upto[-1] < min((s[2] for s in self.sizes.values()), default=n + 1) and upto[-1] < rule.run:
             return out
+        out.update(self.sharing(text))
         sums = np.concatenate([np.zeros((1, rule.bits), np.int32), np.cumsum(self.vectors[text], axis=0, dtype=np.int32)])
         if n >= rule.run and len(self.run_owner):
             at = np.flatnonzero(upto[rule.run :] - upto[: n - rule.run + 1] == rule.run)
