@@ -19,9 +19,21 @@ def finite(x: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Shortest text of a double: whole numbers without a fraction (2, not 2.0)."""
-    whole = finite(x) & (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
-    return F.when(whole, F.when(whole, x).cast("long").cast("string")).otherwise(x.cast("string"))
+    """Shortest text of a double, never with an exponent: 2, not 2.0; 12345678.5, not 1.23456785E7; NaN, inf and -inf.
+
+    It always reads back as the same double; beyond 1e17 and below 1e-307 it may have a digit more than it needs.
+    """
+    s = x.cast("string")
+    for places in (16, 15, 14):  # Java 17 gives some numbers more digits than they need
+        fewer = F.format_string(f"%.{places}e", x)
+        fewer = F.regexp_replace(F.upper(fewer), r"0*E\+?", "E")
+        s = F.when((F.length(s) > 16) & (fewer.try_cast("double") == x), fewer).otherwise(s)
+    power = F.substring_index(s, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0*$|[-.]", "")
+    large = F.when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, "0")).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    spelled = F.concat(F.when(s.startswith("-"), "-").otherwise(""), F.when(power < 0, small).otherwise(large))
+    return F.when(F.isnan(x), "NaN").when(F.abs(x) == F.lit(INF), F.when(x > 0, "inf").otherwise("-inf")).when(s.contains("E"), spelled).otherwise(F.regexp_replace(s, r"\.0$", ""))
 
 
 def operation(name: str, x: Column, order: Iterable[Column] = ()) -> Column:

@@ -110,6 +110,12 @@ def K01_tsv_lines(spark, d):
     return to_lines(rows.select(SEQ, START, END, "feature_name", "score"))
 
 
+@query()
+def K01_tsv_lines_all(spark, d):
+    """All rows with their scores as they are; without SQL, as DuckDB writes doubles in another way."""
+    return to_lines(bed5(spark, d).select(SEQ, START, END, "feature_name", "score"))
+
+
 @query(f"SELECT seqname || chr(9) || range_start || chr(9) || range_end AS value FROM {BED3}")
 def K02_bed3_lines(spark, d):
     return to_lines(bed3(spark, d).select(SEQ, START, END))
@@ -337,6 +343,13 @@ def A07_collapse(spark, d):
     return join.map_scores(windows, right, ["collapse"], order=["rid"], bin_size=WINDOW)
 
 
+@query()
+def A07_collapse_all(spark, d):
+    """All scores as they are; without SQL, as DuckDB writes doubles in another way."""
+    windows = RangeFrame.from_windows(seqlens(spark, d), WINDOW).df
+    return join.map_scores(windows, bed5(spark, d), ["collapse"], order=["rid"], bin_size=WINDOW)
+
+
 @query(f"SELECT coalesce(sum(range_end - range_start), 0)::BIGINT AS coverage FROM {BED3}")
 def A09_coverage(spark, d):
     return frame(spark, d).coverage()
