@@ -36,7 +36,7 @@ ESCAPE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}|
 #: of the same cost must be 2**RARER times as frequent.  No frequency of its own speaks for a form with UTF-8 sequences
 #: that gains STRONG, as such damage is as frequent as the word that it befalls.
 MARGIN, UTF8_MARGIN, RARER, SHORTEST, STRONG = 1.5, 0.9, 4.0, 4, 3.0
-EXPANSIONS, KEPT, DEEPEST = 12, 6, 4
+DEEPEST = 4
 LONGEST = 64
 
 
@@ -207,17 +207,18 @@ def edges(text: str) -> Iterator[tuple[str, str]]:
                     yield f"{wrong}>{right}", _recode(text, wrong, right)
 
 
-def search(text: str, expansions: int = EXPANSIONS, kept: int = KEPT) -> list[tuple[str, float, str]]:
-    """The cheapest texts within reach, (text, cost, operations), the cheapest first; the start is among them.
+def search(text: str) -> list[tuple[str, float, str]]:
+    """All texts within reach that cost at most 0.8 more than the start, (text, cost, operations), the cheapest first; the
+    start is among them.  Which of them is right is for their frequency to say, so none is left out here.
 
-    Best-first: the open text of least cost is expanded next; texts deeper than DEEPEST steps and dearer than the
-    start are not followed, and a step between two one-byte sets ends a path, as two such steps are one of another pair.
+    Best-first: the open text of least cost is expanded next, until none is open; texts deeper than DEEPEST steps and
+    dearer than the start are not followed, and a step between two one-byte sets ends a path, as two such steps are one
+    of another pair.
     """
     start = cost(text)
-    seen, heap, best = {text: (start, "")}, [(start, 0, text)], []
-    while heap and expansions:
+    seen, heap = {text: (start, "")}, [(start, 0, text)]
+    while heap:
         c, depth, t = heapq.heappop(heap)
-        expansions -= 1
         if depth == DEEPEST or depth and c > start + 0.5:
             continue
         ops = seen[t][1]
@@ -229,12 +230,7 @@ def search(text: str, expansions: int = EXPANSIONS, kept: int = KEPT) -> list[tu
             if ">utf-8" in op or op == "unescape":
                 heapq.heappush(heap, (cu, depth + 1, u))
     best = sorted((cu, len(ops), u, ops) for u, (cu, ops) in seen.items() if cu <= start + 0.8)
-    out = [(u, cu, ops) for cu, _, u, ops in best[: kept - 1]]
-    if all(u != text for u, _, _ in out):
-        out.append((text, start, ""))
-    # words that cost the same as the start compete by how frequent they are
-    out += [(u, cu, ops) for cu, _, u, ops in best[kept - 1 :] if abs(cu - start) <= 0.8 and u != text][:24]
-    return out
+    return [(u, cu, ops) for cu, _, u, ops in best]
 
 
 # ---- operator ---------------------------------------------------------------------------------------------------
@@ -278,7 +274,7 @@ def garbled_pieces(pieces: DataFrame, doc_id: str) -> DataFrame:
     """(piece, restored, operations): the garbled forms; restored is null where nothing cheaper was reached."""
     spark = pieces.sparkSession
     forms = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    frequency = forms.groupBy(F.lower("piece").alias("_form")).agg(F.sum("n").alias("_df"))
+    frequency = forms.groupBy(F.lower("piece").alias("_form")).agg(F.sum("n").alias("_df"), F.max_by("piece", F.struct("n", "piece")).alias("_usual"))
     tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,11 +288,11 @@ def garbled_pieces(pieces: DataFrame, doc_id: str) -> DataFrame:
     found = found.join(frequency, F.lower("reached") == F.col("_form"), "left")
     often = F.log2(F.coalesce("_df", F.lit(0)) + 1.0)  # ranks what was reached; as evidence only if both forms are long
     own = F.col("operations") == ""
-    rows = found.select("piece", "marked", "reached", "cost", "operations", often.alias("often"), own.alias("own"))
+    rows = found.select("piece", "marked", "reached", "cost", "operations", often.alias("often"), own.alias("own"), F.coalesce(F.col("reached") != F.col("_usual"), F.lit(True)).alias("unusual"))
     each = rows.groupBy("piece").agg(
         F.max("marked").alias("marked"),
         F.max(F.when(F.col("own"), F.struct("cost", "often"))).alias("was"),
-        F.min(F.when(~F.col("own"), F.struct((F.col("cost") - 0.5 * F.col("often") + STEP * F.size(F.split("operations", " "))).alias("k"), F.col("reached").alias("reached"), F.col("cost").alias("cost"), F.col("often").alias("often"), F.col("operations").alias("operations")))).alias("best"),
+        F.min(F.when(~F.col("own"), F.struct((F.col("cost") - 0.5 * F.col("often") + STEP * F.size(F.split("operations", " "))).alias("k"), F.col("unusual").alias("unusual"), F.col("reached").alias("reached"), F.col("cost").alias("cost"), F.col("often").alias("often"), F.col("operations").alias("operations")))).alias("best"),
     )
     both = F.least(F.length("piece"), F.length("best.reached")) >= SHORTEST
     gain, rarer = F.col("was.cost") - F.col("best.cost"), F.when(both, F.col("best.often") - F.col("was.often")).otherwise(0.0)
