@@ -30,7 +30,9 @@ WIDE_ENCODINGS = ("gbk", "big5", "shift_jis", "euc_kr")
 
 #: A piece: ASCII letters and anything beyond ASCII; a no-break space only after such a character.
 PIECE = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f\xa0]|(?<=[^\x00-\x7f\xa0])\xa0)+")
-ESCAPE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
+ESCAPE = re.compile(r"&(?:amp;)*(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8}\d{0,2});|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
+#: Letters and escapes side by side: read as one text before pieces are cut, as one letter's bytes may be several escapes.
+RUN = re.compile(rf"(?:{PIECE.pattern[3:-2]}|{ESCAPE.pattern})++")
 
 #: A cheaper text must gain this much in cost, less if UTF-8 sequences were found, as those hardly arise by chance; a word
 #: of the same cost must be 2**RARER times as frequent.  No frequency of its own speaks for a form with UTF-8 sequences
@@ -179,8 +181,18 @@ def _recode(text: str, wrong: str, right: str) -> str | None:
     return "".join(out)
 
 
+def _one_escape(m: re.Match) -> str:
+    e = m.group()
+    if e[0] == "&":  # also escaped several times over
+        return html.unescape("&" + e[1:].replace("amp;", "", e.count("amp;") - (e[-4:] == "amp;")))
+    if len(e) == 12:  # two halves of one character
+        return (chr(int(e[2:6], 16)) + chr(int(e[8:], 16))).encode("utf-16-le", "surrogatepass").decode("utf-16-le")
+    c = chr(int(e[2:], 16))
+    return e if "\ud800" <= c <= "\udfff" else c
+
+
 def _unescape(text: str) -> str | None:
-    out = ESCAPE.sub(lambda m: html.unescape(m.group()) if m.group()[0] == "&" else chr(int(m.group()[2:], 16)), text)
+    out = ESCAPE.sub(_one_escape, text)
     return out if out != text else None
 
 
@@ -239,11 +251,27 @@ def parts(piece: str) -> list[str]:
     return [piece[i : i + LONGEST] for i in range(0, len(piece), LONGEST)]
 
 
+def plain_pieces(text: str) -> set[str]:
+    return {q for p in PIECE.findall(text) for q in parts(p) if not q.isascii()}
+
+
+def escaped_pieces(run: str) -> set[str]:
+    """Pieces that a run has only once its escapes are taken off, the first step of their search.  Escapes of marks alone
+    are no damage, as the text itself shows none; those that make UTF-8 sequences are."""
+    found = plain_pieces(_unescape(run) or "") - plain_pieces(run)
+    return {q for q in found if not marked(q) or any(_utf8_inside(q, e) for e in ENCODINGS)}
+
+
 def pieces_of(text: str | None) -> set[str]:
-    """Distinct pieces of a text that hold something beyond ASCII, and its escapes."""
+    """Distinct pieces of a text that hold something beyond ASCII, also after its escapes are taken off."""
     if not text or text.isascii() and "&" not in text and "\\" not in text:
         return set()
-    return {q for p in PIECE.findall(text) for q in parts(p) if not q.isascii()} | {m.group() for m in ESCAPE.finditer(text) if _unescape(m.group())}
+    found = plain_pieces(text)
+    if "&" in text or "\\" in text:
+        for run in RUN.findall(text):
+            if "&" in run or "\\" in run:
+                found |= escaped_pieces(run)
+    return found
 
 
 def doc_pieces(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -323,7 +351,18 @@ def restore_text(text: str, repairs: dict[str, str | None], operations: list[str
                 return u
         return p
 
-    return ESCAPE.sub(lambda m: repairs.get(m.group()) or m.group(), PIECE.sub(lambda m: "".join(map(one, parts(m.group()))), text))
+    def whole(t: str) -> str:
+        return PIECE.sub(lambda m: "".join(map(one, parts(m.group()))), t)
+
+    if "&" not in text and "\\" not in text:
+        return whole(text)
+    out, at = [], 0
+    for m in RUN.finditer(text):  # escapes stay where nothing under them is repaired
+        run = m.group()
+        under = ("&" in run or "\\" in run) and any(repairs.get(q) for q in escaped_pieces(run))
+        out += [text[at : m.start()], whole(_unescape(run) if under else run)]
+        at = m.end()
+    return "".join([*out, text[at:]])
 
 
 def restore(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
