@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 REASONS = ("bad_quoting", "too_few_columns", "bad_start", "bad_end", "bad_range", "bad_score")
 LARGEST = 4294967295
-#: Lines of a block at first, and the size at which a refused block is read line by line: a bulk call has a fixed cost of
-#: about 90 strictly read lines, so cutting further would cost more than it saves.
+#: Lines of a block, and the size at which bisection ends.  Of a refused block only the lines that fail a mask are read line
+#: by line; what is refused even so is bisected, and a bulk call has a fixed cost of about 90 strictly read lines.
 BLOCK, LEAF = 4096, 64
 
 COLUMN = r'"(?:[^"]|"")*"|[^"\t][^\t]*|'
@@ -74,6 +74,22 @@ def parse_bulk(lines: pa.Array) -> list[pa.Array]:
     return [name, start, end, feature, score]
 
 
+def passing(lines: pa.Array) -> pa.Array:
+    """For each line whether it passes every check of the bulk path: one mask a check, none of them refuses the block."""
+    cols = pc.extract_regex(lines, RECORD)
+    ok = pc.is_valid(cols)
+    # columns of the struct without its own nulls: give lines that are no record an empty text, which fails the digits
+    _, start, end, _, score = (_plain(pc.if_else(ok, pc.struct_field(cols, i), "")) for i in range(5))
+    at = []
+    for col in (start, end):
+        short = pc.replace_substring_regex(col, "^0+([0-9])", r"\1")
+        ok = pc.and_(ok, pc.and_(pc.match_substring_regex(col, DIGITS), pc.less_equal(pc.utf8_length(short), 10)))
+        at.append((short, pc.match_substring_regex(short, r"^[0-9]{1,10}$")))
+    start, end = (pc.cast(pc.if_else(fits, short, "0"), pa.int64()) for short, fits in at)
+    ok = pc.and_(ok, pc.and_(pc.less_equal(start, LARGEST), pc.and_(pc.less_equal(end, LARGEST), pc.greater(end, start))))
+    return pc.and_(ok, pc.or_(pc.equal(score, "."), pc.match_substring_regex(score, SCORE)))
+
+
 def split_strictly(line: str) -> list[str] | None:
     """Columns of a line without their quotes; None if a quoted column is not closed before a tab or the end."""
     out, i, n = [], 0, len(line)
@@ -129,23 +145,34 @@ def parse_strictly(line: str) -> tuple:
 
 def parse_lines(lines: pa.Array, block: int = BLOCK, leaf: int = LEAF) -> pa.Table:
     """Parse lines that are records (no comments, no blanks); row i of the result is line i."""
-    pieces: list[pa.Table] = []
 
-    def go(part: pa.Array) -> None:
+    def strictly(part: pa.Array) -> pa.Table:
+        rows = [parse_strictly(x) for x in part.to_pylist()]
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows), OUT)], schema=OUT) if rows else OUT.empty_table()
+
+    def in_bulk(part: pa.Array) -> pa.Table:
+        cols = parse_bulk(part)
+        return pa.table([pa.array(c) if isinstance(c, list) else c for c in cols] + [pa.nulls(len(part), pa.string())], schema=OUT)
+
+    def bisected(part: pa.Array) -> list[pa.Table]:
+        try:
+            return [in_bulk(part)]
+        except Refused:
+            half = len(part) // 2
+            return [strictly(part)] if len(part) <= leaf else bisected(part.slice(0, half)) + bisected(part.slice(half))
+
+    def one(part: pa.Array) -> list[pa.Table]:
         try:
-            cols = parse_bulk(part)
-            pieces.append(pa.table([pa.array(c) if isinstance(c, list) else c for c in cols] + [pa.nulls(len(part), pa.string())], schema=OUT))
+            return [in_bulk(part)]
         except Refused:
-            if len(part) <= leaf:
-                rows = [parse_strictly(x) for x in part.to_pylist()]
-                pieces.append(pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows), OUT)], schema=OUT))
-            else:
-                half = len(part) // 2
-                go(part.slice(0, half))
-                go(part.slice(half))
-
-    for i in range(0, len(lines), block):
-        go(lines.slice(i, block))
+            ok = passing(part).to_numpy(zero_copy_only=False).astype(bool)
+        good, bad = np.flatnonzero(ok), np.flatnonzero(~ok)
+        if not len(bad):
+            return bisected(part)
+        both = pa.concat_tables([*(bisected(part.take(pa.array(good))) if len(good) else []), strictly(part.take(pa.array(bad)))])
+        return [both.take(pa.array(np.argsort(np.concatenate([good, bad]))))]
+
+    pieces = [t for i in range(0, len(lines), block) for t in one(lines.slice(i, block))]
     return pa.concat_tables(pieces) if pieces else OUT.empty_table()
 
 
