@@ -164,6 +164,14 @@ def P08_into_data(spark, d):
     return a.join(ordering.with_position(right, ["stat_id"], "_p"), "_p").select(SEQ, START, END, "stat_id")
 
 
+@query()
+def P08_into_data_all(spark, d):
+    """Every range, in range order, with the value of its position, through the length check of RangeFrame; without SQL."""
+    b = bed3(spark, d)
+    values = b.select(F.col("rid").alias("value_id"), (F.col(END) - F.col(START)).alias("width"))
+    return RangeFrame(b, seqlens(spark, d)).into_data(values, [SEQ, START, END], ["value_id"]).df
+
+
 @query(f"""SELECT rid, b.range_start <= b.range_end AND b.range_end < s.seq_length AS container_ok, b.range_start < b.range_end AND b.range_end <= s.seq_length AS slice_ok
 FROM {BED3} b JOIN {SEQLENS} s ON b.seqname = s.seqname""")
 def P10_range_predicates(spark, d):
@@ -463,6 +471,14 @@ def O01_sort(spark, d):
     return ordering.with_position(rows, ["ord", SEQ, START, END, "rid"]).select("rid", "position")
 
 
+@query()
+def O01_sort_all(spark, d):
+    """Position of every range in the order of sort_ranges: names outside the genome come at the end; without SQL."""
+    s = seqlens(spark, d).select(F.col(SEQ).alias("_k"), "ord")
+    rows = lookup_join(bed3(spark, d), s, [SEQ], ["_k"], "left", "rid").withColumns({"_out": F.col("ord").isNull(), "_name": ordering.natural_key(SEQ)})
+    return ordering.with_position(rows, ["_out", "ord", "_name", START, END, "rid"]).select("rid", "position")
+
+
 @query(f"SELECT feature_name, row_number() OVER (ORDER BY min(rid), feature_name) - 1 AS code FROM {BED5} WHERE feature_name IS NOT NULL GROUP BY feature_name")
 def O02_dictionary(spark, d):
     return ordering.dictionary(bed5(spark, d), "feature_name", "rid")
