@@ -121,8 +121,6 @@ def test_find_leaks(spark):
     assert {tuple(r) for r in blocks.collect()} == want
     assert L.find_leaks(df.limit(0).withColumnsRenamed({"item_id": "doc_id"}), it).count() == 0
     assert L.find_leaks(df.withColumnsRenamed({"item_id": "doc_id"}), it.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="items"):
-        L.find_leaks(df.withColumnsRenamed({"item_id": "doc_id"}), it, most_items=3)
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
