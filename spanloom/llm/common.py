@@ -26,7 +26,7 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     if pc.any(odd, min_count=0).as_py():
         at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         texts = pc.replace_with_mask(texts, odd, pa.array([" ".join(words(texts[int(i)].as_py())) for i in at], texts.type))
-    parts = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+")
+    parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+", " "))
     rows, flat = pc.list_parent_indices(parts), pc.list_flatten(parts)
     some = pc.greater(pc.binary_length(flat), 0)
     return pc.filter(flat, some), pc.filter(rows, some).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from spanloom.llm import packing as P
+from spanloom.llm.common import words
 
 
 @pytest.fixture(scope="module")
@@ -61,20 +62,53 @@ def test_neighbours_share_containers(corpus):
 
 def test_document_frequencies_cover_all(corpus):
     df, texts = corpus
-    total, freq = P.term_frequencies(P.tokenized(df, "doc_id", "text", P.TOKENIZER))
-    assert total == len(texts)
-    t = P.term_ids(["apple1"])[0][0]
-    assert freq[t] >= sum("apple1 " in f"{x} " for x in texts.values() if x)
+    freq = {r.t: r.n for r in P.term_frequencies(P.tokenized(df, "doc_id", "text", P.TOKENIZER)).collect()}
+    assert freq[P.term_keys(["apple1"])[0]] == sum("apple1" in words(x) for x in texts.values())
+    assert P.term_keys(["x" * 5000])[0] not in freq  # in one document only
+
+
+def shard(sizes, bags, idf):
+    """Bags of (terms, weights) as a shard; each weight times the idf of its term."""
+    ends = np.concatenate([[0], np.cumsum([len(t) for t, _ in bags])])
+    term = np.concatenate([t for t, _ in bags])
+    return P.Shard(np.array(sizes), ends, term, np.concatenate([w for _, w in bags]) * idf[term])
 
 
 def test_bm25_order():
     bags = [(np.array([1, 2]), np.array([1, 1])), (np.array([1]), np.array([1])), (np.array([1, 2]), np.array([2, 2])), (np.array([9]), np.array([1]))]
     idf = np.ones(10)
     idf[2] = 5.0
-    s = P.Shard(np.array([5, 5, 5, 5]), bags, idf, 2.0)
+    s = shard([5, 5, 5, 5], bags, idf)
     s.take(0)
     assert s.neighbours(0).tolist() == [2, 1]  # shares the rare term; shares one; shares none
-    assert s.fill(11, 0) == [2, 1] and s.fill(5, None) == [3]
+    assert s.fill(11, 0) == ([2, 1], 2) and s.fill(5, None) == ([3], 0)
+
+
+def test_first_neighbours_are_those_of_the_whole_ranking():
+    rng = np.random.default_rng(7)
+    share = 1 / np.arange(1, 200)
+    bags = [(np.flatnonzero(rng.random(199) < share), None) for _ in range(300)]
+    bags = [(t, rng.integers(1, 5, len(t))) for t, _ in bags]
+    s = shard(rng.integers(0, 50, 300), bags, np.log(1 / share + 1))
+    for i in rng.permutation(300)[:100]:
+        s.take(int(i))
+        for k in (1, 5, 64):
+            free = np.flatnonzero(~s.used)
+            assert P.Query(s, i).best(free, k).tolist() == P.Query(s, i).best(free, 300)[:k].tolist() == s.neighbours(i)[:k].tolist()
+
+
+def test_same_containers_however_the_job_is_cut(corpus, spark):
+    df, _ = corpus
+    key = lambda x: sorted(map(tuple, x.collect()))
+    want = key(P.pack(df, capacity=200, shard=40))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert key(P.pack(df.repartition(3), capacity=200, shard=40)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert key(P.pack(df, capacity=200, shard=40, most_terms=3)) == want  # frequencies joined, not broadcast
 
 
 def test_repeatable_and_empty(corpus, spark):
