@@ -18,9 +18,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import lookup_join
 from ..session import cut_lineage
 from .common import spread
 
@@ -39,7 +40,11 @@ RUN = re.compile(rf"(?:{PIECE.pattern[3:-2]}|{ESCAPE.pattern})++")
 #: that gains STRONG, as such damage is as frequent as the word that it befalls.
 MARGIN, UTF8_MARGIN, RARER, SHORTEST, STRONG = 1.5, 0.9, 4.0, 4, 3.0
 DEEPEST = 4
-LONGEST = 64
+#: Characters up to which a form is searched as a whole; a longer one is searched in stretches of that many, which overlap by
+#: ``LAP``, for the steps that lead to something better, and these are then taken on all of it.
+LONGEST, LAP = 64, 16
+#: Garbled forms, and bytes of theirs, up to which the repairs are broadcast; more are joined by shuffle.
+REPAIRS, REPAIR_BYTES = 200_000, 32 << 20
 
 
 # ---- character plausibility -------------------------------------------------------------------------------------
@@ -196,16 +201,20 @@ def _unescape(text: str) -> str | None:
     return out if out != text else None
 
 
-def edges(text: str) -> Iterator[tuple[str, str]]:
-    """(operation, text) of every step from a text."""
+def edges(text: str, last: str = "") -> Iterator[tuple[str, str]]:
+    """(operation, text) of every step from a text that ``last`` led to.  Two steps in a row between one-byte sets are one
+    of another pair, and reading the bytes back that such a step wrote undoes it, so neither is taken."""
+    recoded = last.partition(">")[2] if last and last != "unescape" and not last.endswith("utf-8") else None
     if "&" in text or "\\" in text:
         t = _unescape(text)
         if t is not None:
             yield "unescape", t
     for e in ENCODINGS:
-        t = _utf8_inside(text, e)
+        t = _utf8_inside(text, e) if e != recoded else None
         if t is not None:
             yield f"{e}>utf-8", t
+    if recoded:
+        return
     if any(_kind(c) == "H" for c in text):
         for e in WIDE_ENCODINGS:
             try:
@@ -219,40 +228,88 @@ def edges(text: str) -> Iterator[tuple[str, str]]:
                     yield f"{wrong}>{right}", _recode(text, wrong, right)
 
 
+def _lead(text: str) -> bool:
+    """Whether the text may hold a UTF-8 sequence read in some one-byte set."""
+    return any(a in _LEADS and b in _TRAILS for a, b in zip(text, text[1:]))
+
+
+_LEADS = frozenset(c for e in ENCODINGS for c, b in _bytes_of(e).items() if b >= 0xC2)
+_TRAILS = frozenset(c for e in ENCODINGS for c, b in _bytes_of(e).items() if b < 0xC0)
+
+
 def search(text: str) -> list[tuple[str, float, str]]:
     """All texts within reach that cost at most 0.8 more than the start, (text, cost, operations), the cheapest first; the
-    start is among them.  Which of them is right is for their frequency to say, so none is left out here.
+    start is among them.  Which of them is right is for their frequency to say, so none is left out here."""
+    return _search(text) if len(text) <= LONGEST else _search_long(text)
 
-    Best-first: the open text of least cost is expanded next, until none is open; texts deeper than DEEPEST steps and
-    dearer than the start are not followed, and a step between two one-byte sets ends a path, as two such steps are one
-    of another pair.
-    """
+
+def _search(text: str) -> list[tuple[str, float, str]]:
+    """Best-first: the open text of least cost is expanded next, until none is open; texts deeper than DEEPEST steps and
+    dearer than the start are not followed.  A text after a step between one-byte sets is dear by nature if it holds UTF-8
+    sequences, so it is read on at once, whatever it costs."""
     start = cost(text)
     seen, heap = {text: (start, "")}, [(start, 0, text)]
+
+    def reach(op: str, u: str, ops: str, depth: int) -> None:
+        cu = cost(u)
+        seen[u] = (cu, f"{ops} {op}".strip())
+        if ">utf-8" in op or op == "unescape":
+            heapq.heappush(heap, (cu, depth, u))
+        elif _lead(u):
+            for again, v in edges(u, op):
+                if v not in seen:
+                    reach(again, v, seen[u][1], depth + 1)
+
     while heap:
         c, depth, t = heapq.heappop(heap)
-        if depth == DEEPEST or depth and c > start + 0.5:
+        if depth >= DEEPEST or depth and c > start + 0.5:
             continue
-        ops = seen[t][1]
         for op, u in edges(t):
-            if u in seen:
-                continue
-            cu = cost(u)
-            seen[u] = (cu, f"{ops} {op}".strip())
-            if ">utf-8" in op or op == "unescape":
-                heapq.heappush(heap, (cu, depth + 1, u))
+            if u not in seen:
+                reach(op, u, seen[t][1], depth + 1)
     best = sorted((cu, len(ops), u, ops) for u, (cu, ops) in seen.items() if cu <= start + 0.8)
     return [(u, cu, ops) for cu, _, u, ops in best]
 
 
-# ---- operator ---------------------------------------------------------------------------------------------------
-def parts(piece: str) -> list[str]:
-    """A piece in parts of at most LONGEST characters; scripts without spaces give long pieces."""
-    return [piece[i : i + LONGEST] for i in range(0, len(piece), LONGEST)]
+def _take(text: str, op: str) -> str | None:
+    """One named step on a text of any length; None if it can't be taken."""
+    if op == "unescape":
+        return _unescape(text)
+    wrong, right = op.split(">")
+    if right != "utf-8":
+        return _recode(text, wrong, right)
+    if wrong not in WIDE_ENCODINGS:
+        return _utf8_inside(text, wrong)
+    try:
+        return text.encode(wrong).decode("utf-8")
+    except UnicodeError:
+        return None
+
+
+def _search_long(text: str) -> list[tuple[str, float, str]]:
+    """Whatever steps lead some stretch to a cheaper text are taken on the whole; no stretch is left out and none is cut off
+    from what it belongs to, as only the steps are learnt from stretches."""
+    paths, stretches = {}, {text[i : i + LONGEST] for i in range(0, len(text), LONGEST - LAP)}
+    for part in stretches:
+        was = cost(part)
+        for _, c, ops in _search(part):
+            if ops and c < was - 0.5:
+                paths[ops] = None
+    start = cost(text)
+    out = {text: (start, "")}
+    for ops in sorted(paths, key=lambda o: (o.count(" "), o)):
+        t: str | None = text
+        for op in ops.split(" "):
+            t = _take(t, op) if t is not None else None
+        if t is not None and t not in out:
+            out[t] = (cost(t), ops)
+    best = sorted((c, len(ops), u, ops) for u, (c, ops) in out.items() if c <= start + 0.8)
+    return [(u, c, ops) for c, _, u, ops in best]
 
 
+# ---- operator ---------------------------------------------------------------------------------------------------
 def plain_pieces(text: str) -> set[str]:
-    return {q for p in PIECE.findall(text) for q in parts(p) if not q.isascii()}
+    return {p for p in PIECE.findall(text) if not p.isascii()}
 
 
 def escaped_pieces(run: str) -> set[str]:
@@ -291,13 +348,6 @@ def doc_pieces(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return cut_lineage(src.mapInArrow(run, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, piece string"))
 
 
-def _with_repairs(pieces: DataFrame, repairs: DataFrame, doc_id: str, how: str, salts: int = 16) -> DataFrame:
-    """Join on the piece; a form that very many documents hold is spread over ``salts`` parts."""
-    left = pieces.withColumn("_salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)))
-    right = repairs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, ["piece", "_salt"], how).drop("_salt")
-
-
 def garbled_pieces(pieces: DataFrame, doc_id: str) -> DataFrame:
     """(piece, restored, operations): the garbled forms; restored is null where nothing cheaper was reached."""
     spark = pieces.sparkSession
@@ -317,24 +367,49 @@ def garbled_pieces(pieces: DataFrame, doc_id: str) -> DataFrame:
     often = F.log2(F.coalesce("_df", F.lit(0)) + 1.0)  # ranks what was reached; as evidence only if both forms are long
     own = F.col("operations") == ""
     rows = found.select("piece", "marked", "reached", "cost", "operations", often.alias("often"), own.alias("own"), F.coalesce(F.col("reached") != F.col("_usual"), F.lit(True)).alias("unusual"))
+    # a UTF-8 sequence before or after a step between one-byte sets comes about by chance too often: only frequency speaks for it
+    mixed = F.col("operations").rlike(r">(?!utf-8)") & F.col("operations").contains("utf-8")
+    rank = F.struct((F.col("cost") - 0.5 * F.col("often") + STEP * F.size(F.split("operations", " "))).alias("k"), "unusual", "reached", "cost", "often", "operations")
     each = rows.groupBy("piece").agg(
         F.max("marked").alias("marked"),
         F.max(F.when(F.col("own"), F.struct("cost", "often"))).alias("was"),
-        F.min(F.when(~F.col("own"), F.struct((F.col("cost") - 0.5 * F.col("often") + STEP * F.size(F.split("operations", " "))).alias("k"), F.col("unusual").alias("unusual"), F.col("reached").alias("reached"), F.col("cost").alias("cost"), F.col("often").alias("often"), F.col("operations").alias("operations")))).alias("best"),
+        F.min(F.when(~F.col("own") & ~mixed, rank)).alias("best"),
+        F.min(F.when(~F.col("own") & mixed, rank)).alias("far"),
     )
-    both = F.least(F.length("piece"), F.length("best.reached")) >= SHORTEST
-    gain, rarer = F.col("was.cost") - F.col("best.cost"), F.when(both, F.col("best.often") - F.col("was.often")).otherwise(0.0)
+
+    def gain(x: str) -> Column:
+        return F.col("was.cost") - F.col(f"{x}.cost")
+
+    def rarer(x: str) -> Column:
+        both = F.least(F.length("piece"), F.length(f"{x}.reached")) >= SHORTEST
+        return F.when(both, F.col(f"{x}.often") - F.col("was.often")).otherwise(0.0)
+
     utf8 = F.col("best.operations").contains("utf-8")
-    plain = (gain >= F.when(utf8, UTF8_MARGIN).otherwise(MARGIN)) & ((rarer > -RARER) | utf8 & (gain >= STRONG))
-    common = (gain > -0.8) & (rarer >= RARER)
-    better = F.coalesce(plain | common, F.lit(False))
-    return each.where(F.col("marked") | better).select("piece", F.when(better, F.col("best.reached")).alias("restored"), F.when(better, F.col("best.operations")).alias("operations"))
+    plain = (gain("best") >= F.when(utf8, UTF8_MARGIN).otherwise(MARGIN)) & ((rarer("best") > -RARER) | utf8 & (gain("best") >= STRONG))
+    common = {x: (gain(x) > -0.8) & (rarer(x) >= RARER) for x in ("best", "far")}
+    near, far = F.coalesce(plain | common["best"], F.lit(False)), F.coalesce(common["far"], F.lit(False))
+    out = {c: F.when(near, F.col(f"best.{c}")).when(far, F.col(f"far.{c}")) for c in ("reached", "operations")}
+    return each.where(F.col("marked") | near | far).select("piece", out["reached"].alias("restored"), out["operations"].alias("operations"))
+
+
+def _bounded(repairs: DataFrame) -> bool:
+    """Whether the repairs are few enough to be broadcast: counted, in rows and bytes."""
+    size = F.sum(F.octet_length("piece") + F.coalesce(F.octet_length("restored"), F.lit(0)))
+    n, size = repairs.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return n <= REPAIRS and size <= REPAIR_BYTES
 
 
 def find_garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id): documents whose text has at least one garbled piece.  Null and empty texts have none."""
+    """(doc_id): documents whose text has at least one garbled piece.  Null and empty texts have none.
+
+    The garbled forms are broadcast if a count proves them small, else joined by shuffle with each form spread over
+    several parts, as very many documents may hold one.
+    """
     pieces = doc_pieces(docs, doc_id, text)
-    return _with_repairs(pieces, garbled_pieces(pieces, doc_id).select("piece"), doc_id, "left_semi").select(doc_id).distinct()
+    repairs = cut_lineage(garbled_pieces(pieces, doc_id))
+    bad = repairs.select(F.col("piece").alias("_piece"))
+    rows = REPAIRS if _bounded(repairs) else -1
+    return lookup_join(pieces, bad, ["piece"], ["_piece"], "left_semi", doc_id, rows).select(doc_id).distinct()
 
 
 def restore_text(text: str, repairs: dict[str, str | None], operations: list[str]) -> str:
@@ -352,7 +427,7 @@ def restore_text(text: str, repairs: dict[str, str | None], operations: list[str
         return p
 
     def whole(t: str) -> str:
-        return PIECE.sub(lambda m: "".join(map(one, parts(m.group()))), t)
+        return PIECE.sub(lambda m: one(m.group()), t)
 
     if "&" not in text and "\\" not in text:
         return whole(text)
@@ -368,19 +443,35 @@ def restore_text(text: str, repairs: dict[str, str | None], operations: list[str
 def restore(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, restored_text, n_pieces, n_restored) of the garbled documents; what cannot be restored stays.
 
-    Repairs are joined to the documents that hold them: as many per document as it has distinct pieces.
+    Repairs that a count proves small are broadcast, and no text is shuffled.  More are joined to the pieces of the
+    documents, and only then do texts meet them by shuffle.
     """
     pieces = doc_pieces(docs, doc_id, text)
-    bad = _with_repairs(pieces, garbled_pieces(pieces, doc_id), doc_id, "inner").groupBy(doc_id).agg(F.collect_list(F.struct("piece", "restored", "operations")).alias("_r"))
-    rows = docs.select(doc_id, text).join(bad, doc_id)
+    repairs = cut_lineage(garbled_pieces(pieces, doc_id))
+    types = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, restored_text string, n_pieces long, n_restored long"
+
+    def batch(ids: list, texts: list, found: list[list[tuple]]) -> pa.RecordBatch:
+        out = [restore_text(t, {p: u for p, u, _ in rs}, [o for _, _, o in rs]) for t, rs in zip(texts, found)]
+        ok = [sum(u is not None for _, u, _ in rs) for rs in found]
+        return pa.record_batch([ids, pa.array(out, pa.string()), pa.array(list(map(len, found)), pa.int64()), pa.array(ok, pa.int64())], [doc_id, "restored_text", "n_pieces", "n_restored"])
+
+    if _bounded(repairs):
+        shared = docs.sparkSession.sparkContext.broadcast({r["piece"]: tuple(r) for r in repairs.collect()})
+
+        def search_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                found = [[shared.value[p] for p in sorted(pieces_of(t) & shared.value.keys())] for t in texts]
+                at = [i for i, rs in enumerate(found) if rs]
+                yield batch(b.column(0).take(pa.array(at, pa.int64())), [texts[i] for i in at], [found[i] for i in at])
+
+        return spread(docs.select(doc_id, text), doc_id).mapInArrow(search_here, types)
+    named = repairs.select(F.col("piece").alias("_piece"), "restored", "operations")
+    bad = lookup_join(pieces, named, ["piece"], ["_piece"], "inner", doc_id, -1).groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("piece", "restored", "operations"))).alias("_r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, n, ok = [], [], []
-            for t, rs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                out.append(restore_text(t, {r["piece"]: r["restored"] for r in rs}, [r["operations"] for r in rs]))
-                n.append(len(rs))
-                ok.append(sum(r["restored"] is not None for r in rs))
-            yield pa.record_batch([b.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(ok, pa.int64())], [doc_id, "restored_text", "n_pieces", "n_restored"])
-
-    return rows.mapInArrow(run, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, restored_text string, n_pieces long, n_restored long")
+            found = [[(r["piece"], r["restored"], r["operations"]) for r in rs] for rs in b.column(2).to_pylist()]
+            yield batch(b.column(0), b.column(1).to_pylist(), found)
+
+    return docs.select(doc_id, text).join(bad, doc_id).mapInArrow(run, types)

@@ -54,5 +54,19 @@ def p8_restored(spark, d):
     return mojibake.restore(_docs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_checks, p6_utilisation, p7_found, p7_items, p8_found, p8_restored)}
-SQL = {"p6_checks": P6_CHECKS}
+def p8_checks(spark, d):
+    """Every test item, its letters beyond ASCII read in a wrong set, set down among the documents: found and restored?
+
+    One row an item: whether it is found if and only if damage changed it, and whether every word came back.
+    """
+    items = _items(spark, d).select((-1 - F.col("item_id")).alias("doc_id"), F.col("item_text").alias("right"), F.decode(F.encode("item_text", "UTF-8"), "ISO-8859-1").alias("text"))
+    restored = mojibake.restore(_docs(spark, d).unionAll(items.select("doc_id", "text"))).where("doc_id < 0").select(F.col("doc_id").alias("_d"), "restored_text")
+    out = items.join(restored, items["doc_id"] == restored["_d"], "left")
+    found = F.col("_d").isNotNull() == (F.col("text") != F.col("right"))
+    return out.select((-1 - F.col("doc_id")).alias("item_id"), found.alias("found"), (F.coalesce("restored_text", "text") == F.col("right")).alias("restored"))
+
+
+P8_CHECKS = "SELECT item_id, true AS found, true AS restored FROM eval_items WHERE item_text IS NOT NULL"
+
+QUERIES = {f.__name__: f for f in (p6_pack, p6_checks, p6_utilisation, p7_found, p7_items, p8_found, p8_restored, p8_checks)}
+SQL = {"p6_checks": P6_CHECKS, "p8_checks": P8_CHECKS}
