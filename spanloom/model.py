@@ -26,20 +26,22 @@ def bounded_broadcast(df: DataFrame, rows: int = GENOME_BROADCAST_ROWS) -> DataF
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def lookup_join(fact: DataFrame, dim: DataFrame, fact_keys: Sequence[str], dim_keys: Sequence[str], how: str = "left", spread_by: str | None = None, rows: int = GENOME_BROADCAST_ROWS, salts: int = 16) -> DataFrame:
+def lookup_join(fact: DataFrame, dim: DataFrame, fact_keys: Sequence[str], dim_keys: Sequence[str], how: str = "left", spread_by: str | None = None, rows: int = GENOME_BROADCAST_ROWS, salts: int = 16, null_safe: bool = False) -> DataFrame:
     """Join with a table that has few rows per key, whatever share of the fact rows one key holds.
 
     A dim of at most ``rows`` rows, which a limited count proves, is broadcast.  A longer one is joined by shuffle, with
-    every key spread over ``salts`` parts: fact rows by the hash of ``spread_by``, the dim copied to all parts.
+    every key spread over ``salts`` parts: fact rows by the hash of ``spread_by``, the dim copied to all parts; adaptive
+    execution splits parts that are still too large.  ``null_safe``: null keys meet null keys.
     """
-    on = [fact[a] == dim[b] for a, b in zip(fact_keys, dim_keys)]
+    same = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
+    on = [same(fact[a], dim[b]) for a, b in zip(fact_keys, dim_keys)]
     if dim.limit(rows + 1).count() <= rows:
         return fact.join(F.broadcast(dim), on, how)
     if spread_by is None:
         return fact.join(dim, on, how)
     salted = fact.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     parts = dim.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    on = [salted[a] == parts[b] for a, b in zip(fact_keys, dim_keys)] + [salted["__salt"] == parts["__part"]]
+    on = [same(salted[a], parts[b]) for a, b in zip(fact_keys, dim_keys)] + [salted["__salt"] == parts["__part"]]
     return salted.join(parts, on, how).drop("__salt", "__part")
 
 

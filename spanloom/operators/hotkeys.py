@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.agg import finite
 from ..functions.arith import valid_range
 from ..model import END, SEQ, START
-from .periods import periods
+from .periods import covered_width
 
 #: Type of counts of joined pairs: a product of two long counts may exceed a long.
 WIDE = "decimal(38,0)"
@@ -27,15 +27,16 @@ def key_state(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column] | N
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in (sums or {}).items()], *extra)
 
 
-def eager_join_aggregate(left: DataFrame, right: DataFrame, on: Sequence[str], left_sums: Mapping[str, Column] | None = None, right_sums: Mapping[str, Column] | None = None, products: Mapping[str, tuple[str, str]] | None = None, rollup: Sequence[str] | None = None) -> DataFrame:
+def eager_join_aggregate(left: DataFrame, right: DataFrame, on: Sequence[str], left_sums: Mapping[str, Column] | None = None, right_sums: Mapping[str, Column] | None = None, products: Mapping[str, tuple[str, str]] | None = None, rollup: Sequence[str] | None = None, left_by: Sequence[str] = ()) -> DataFrame:
     """Aggregates over the inner equi-join of two tables, without the join.
 
     n_left and n_right count the rows of either side whose key occurs on both, n_pairs the joined rows; each left
     (right) sum runs over the joined rows; ``products`` sum left x right terms over them.  ``rollup`` is a subset
-    of ``on`` to group by (all of it unless given, [] for one total).  Null keys join with nothing.
+    of ``on`` and ``left_by``, further columns that split the left states, to group by (all of them unless given, [] for
+    one total).  Null keys join with nothing.
     """
-    left_sums, right_sums, rollup = dict(left_sums or {}), dict(right_sums or {}), list(on if rollup is None else rollup)
-    ls = key_state(left, on, left_sums).withColumnsRenamed({"n": "_ln"} | {k: "_l" + k for k in left_sums})
+    left_sums, right_sums, rollup = dict(left_sums or {}), dict(right_sums or {}), list([*on, *left_by] if rollup is None else rollup)
+    ls = key_state(left, [*on, *left_by], left_sums).withColumnsRenamed({"n": "_ln"} | {k: "_l" + k for k in left_sums})
     rs = key_state(right, on, right_sums).withColumnsRenamed({"n": "_rn"} | {k: "_r" + k for k in right_sums})
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     j = ls.join(rs, list(on))
@@ -60,11 +61,6 @@ def range_state(df: DataFrame, keys: Sequence[str] = (SEQ,), score: str | None =
     return key_state(df, keys, sums, extra)
 
 
-def covered_width(df: DataFrame, keys: Sequence[str] = (SEQ,)) -> DataFrame:
-    """Positions covered at least once per key; stripes of positions share a hot key among tasks."""
-    return periods(df, keys).groupBy(*keys).agg(F.sum(F.col(END) - F.col(START)).alias("covered_width"))
-
-
 def profile(df: DataFrame, keys: Sequence[str] = (SEQ,), score: str | None = None) -> DataFrame:
     """range_state with the covered width (0 where a key has no valid range); rows with a null key are left out."""
     rows = df
@@ -76,13 +72,15 @@ def profile(df: DataFrame, keys: Sequence[str] = (SEQ,), score: str | None = Non
 def heavy_keys(tables: Mapping[str, DataFrame], key: str, share: tuple[int, int]) -> DataFrame:
     """(table_name, key): keys that hold at least share[0]/share[1] of a table's rows with a non-null key.
 
-    Plainly this joins every row with the total of its table.  Here the rows of all tables become states per
-    (table, key) and the totals are states rolled up from those; only states are joined.
+    Eager aggregation of the join of all rows with all rows of their table: a key with n of the table's t rows is in n * t
+    joined pairs, and n * n of them is its share.  Only states of (table, key) and of tables are joined.
     """
-    state = None
+    rows = None
     for name, df in tables.items():
-        one = key_state(df.where(F.col(key).isNotNull()).select(F.lit(name).alias("table_name"), key), ["table_name", key])
-        state = one if state is None else state.unionAll(one)
-    totals = state.groupBy("table_name").agg(F.sum("n").alias("_total"))
+        one = df.where(F.col(key).isNotNull()).select(F.lit(name).alias("table_name"), key)
+        rows = one if rows is None else rows.unionAll(one)
+    state = eager_join_aggregate(rows, rows.select("table_name"), ["table_name"], left_by=[key])
     num, den = share
-    return state.join(totals, "table_name").where(F.col("n") * den >= F.col("_total") * num).select("table_name", key, "n", F.col("_total").alias("total"))
+    n, wide = F.col("n_left"), "decimal(38,0)"
+    heavy = state.where((n.cast("decimal(19,0)") * n * F.lit(den)).cast(wide) >= (F.col("n_pairs") * F.lit(num)).cast(wide))
+    return heavy.select("table_name", key, n.alias("n"), F.expr("CAST(n_pairs div n_left AS BIGINT)").alias("total"))

@@ -1,7 +1,8 @@
 """Typed rows from raw BED5 lines, with a reason for every line that fails.
 
-Blocks of lines are parsed in bulk by Arrow kernels that either take a whole block or refuse it.  A refused block is
-cut in two until what is left is small; those few lines go one by one through a strict parser that names the reason.
+Blocks of lines are parsed in bulk by Arrow kernels that either take a whole block or refuse it.  The checks of a refused
+block leave a mask, and the block is cut in two again and again where the mask shows failures, down to single lines:
+halves without any are taken in bulk, the failing lines go one by one through a strict parser that names the reason.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import types as T
 
 REASONS = ("bad_quoting", "too_few_columns", "bad_start", "bad_end", "bad_range", "bad_score")
 LARGEST = 4294967295
-#: Lines of a block, and the size at which bisection ends.  Of a refused block only the lines that fail a mask are read line
-#: by line; what is refused even so is bisected, and a bulk call has a fixed cost of about 90 strictly read lines.
+#: Lines of a block.  Lines that pass every mask and are refused even so (numbers that a kernel can't convert) are bisected by
+#: bulk calls, which have a fixed cost of about 90 strictly read lines, down to ``LEAF``.
 BLOCK, LEAF = 4096, 64
 
 COLUMN = r'"(?:[^"]|"")*"|[^"\t][^\t]*|'
@@ -161,12 +162,21 @@ def parse_lines(lines: pa.Array, block: int = BLOCK, leaf: int = LEAF) -> pa.Tab
             half = len(part) // 2
             return [strictly(part)] if len(part) <= leaf else bisected(part.slice(0, half)) + bisected(part.slice(half))
 
+    def isolated(upto: np.ndarray, lo: int, hi: int) -> list[int]:
+        """The failing lines of lo..hi by bisection; upto[i] is how many of the first i lines fail."""
+        n = int(upto[hi] - upto[lo])
+        if n in (0, hi - lo):
+            return list(range(lo, hi)) if n else []
+        mid = (lo + hi) // 2
+        return isolated(upto, lo, mid) + isolated(upto, mid, hi)
+
     def one(part: pa.Array) -> list[pa.Table]:
         try:
             return [in_bulk(part)]
         except Refused:
             ok = passing(part).to_numpy(zero_copy_only=False).astype(bool)
-        good, bad = np.flatnonzero(ok), np.flatnonzero(~ok)
+        bad = np.array(isolated(np.concatenate([[0], np.cumsum(~ok)]), 0, len(part)), np.int64)
+        good = np.delete(np.arange(len(part)), bad)
         if not len(bad):
             return bisected(part)
         both = pa.concat_tables([*(bisected(part.take(pa.array(good))) if len(good) else []), strictly(part.take(pa.array(bad)))])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.agg import finite
 from ..model import END, SEQ, START, lookup_join
 from ..operators import hotkeys, orphans, periods, quantiles, rejects
+from ..session import cut_lineage
 from .tables import table
 
 
@@ -168,10 +169,9 @@ def p4_monthly(spark, d):
     return each.unionByName(every.withColumn(SEQ, F.lit("*")))
 
 
-def p4_rank_bounds(spark, d):
-    """For every percentile whether the promised error holds: ranks of the answers, counted exactly."""
-    src = table(spark, d, "bed5_ranges").select(SEQ, F.col("score").alias("x")).where(finite(F.col("score")) & F.col(SEQ).isNotNull())
-    got = quantiles.group_percentiles(table(spark, d, "bed5_ranges").select("bed_id", SEQ, "score"), [SEQ], "score", ["bed_id"]).where(F.col(SEQ).isNotNull())
+def _rank_bounds(df, part, value):
+    src = df.select(SEQ, F.col(value).alias("x")).where(finite(F.col(value)) & F.col(SEQ).isNotNull())
+    got = quantiles.group_percentiles(df.select(part, SEQ, value), [SEQ], value, [part]).where(F.col(SEQ).isNotNull())
     long = got.select(SEQ, "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{p}").alias("v")) for p in quantiles.PERCENTILES])).alias("_x")).select(SEQ, "n", "_x.*")
     wide = long.groupBy(SEQ, "n").agg(F.collect_list(F.struct("p", "v")).alias("_q"))
     delta = lambda v: F.abs(v) * F.lit(2.0**-20)
@@ -180,6 +180,20 @@ def p4_rank_bounds(spark, d):
     return counts.select(SEQ, F.col("p").cast("long").alias("p"), "n", ((F.col("below") <= k + e) & (F.col("upto") >= k - e)).alias("within"))
 
 
+def p4_rank_bounds(spark, d):
+    """For every percentile whether the promised error holds: ranks of the answers, counted exactly."""
+    return _rank_bounds(table(spark, d, "bed5_ranges"), "bed_id", "score")
+
+
+def p4_rank_bounds_stats(spark, d):
+    """The same for the medians of map_stats, from partial results per day."""
+    return _rank_bounds(table(spark, d, "map_stats"), "map_day", "score_median")
+
+
+P4_RANK_BOUNDS_STATS = """
+SELECT seqname, p::BIGINT AS p, n, true AS within
+FROM (SELECT seqname, count(*) AS n FROM map_stats WHERE isfinite(score_median) AND seqname IS NOT NULL GROUP BY seqname), (VALUES (1), (25), (50), (75), (99)) AS q(p)"""
+
 P4_RANK_BOUNDS = """
 SELECT seqname, p::BIGINT AS p, n, true AS within
 FROM (SELECT seqname, count(*) AS n FROM bed5_ranges WHERE isfinite(score) AND seqname IS NOT NULL GROUP BY seqname), (VALUES (1), (25), (50), (75), (99)) AS q(p)"""
@@ -211,7 +225,9 @@ FILE_REFS = [orphans.Reference("bed_files", ("genome",), "genomes", ("genome",),
 
 
 def p5_found(spark, d):
-    found = orphans.orphan_cascade([e for e in _p5_graph(spark, d) if e.name != "bed_files"], [*SEQ_REFS, RUN_REF]).where("kind = 'direct'")
+    """The whole cascade, written once; of its orphans the direct ones of the three tables."""
+    found = cut_lineage(orphans.orphan_cascade(_p5_graph(spark, d), [*SEQ_REFS, RUN_REF, *FILE_REFS]))
+    found = found.where("kind = 'direct' AND table_name <> 'bed_files'")
     return found.select("table_name", F.date_format("time", "yyyy-MM").alias("period"), F.col("row_id").cast("long").alias("row_id"), "status")
 
 
@@ -242,5 +258,21 @@ SELECT table_name, period, 'direct' AS kind, status, count(*) AS n FROM dir GROU
 UNION ALL SELECT table_name, period, 'inherited', 'inherited', count(*) FROM inh WHERE (table_name, row_id) NOT IN (SELECT (table_name, row_id) FROM dir) GROUP BY ALL"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_join_profile, p2_found, p2_totals, p3_found, p3_valid, p4_percentiles, p4_monthly, p4_rank_bounds, p5_found, p5_cascade)}
-SQL = {"p1_found": P1_FOUND, "p1_profile": P1_PROFILE, "p1_join_profile": P1_JOIN_PROFILE, "p2_found": P2_FOUND, "p2_totals": P2_TOTALS, "p3_found": P3_FOUND, "p3_valid": P3_VALID, "p4_rank_bounds": P4_RANK_BOUNDS, "p5_found": P5_FOUND, "p5_cascade": P5_CASCADE}
+def p5_cycle(spark, d):
+    """A graph with a cycle, to the fixpoint: each file was derived from the one of half its number, and falls with it."""
+    files = table(spark, d, "bed_files").select("bed_id", "genome", "uploaded_at", F.expr("bed_id div 2").alias("derived_from"))
+    entities = [orphans.Entity("genomes", table(spark, d, "genomes"), "genome"), orphans.Entity("bed_files", files, "bed_id", "uploaded_at"), orphans.Entity("bed3_ranges", table(spark, d, "bed3_ranges").select("rid", "bed_id", "loaded_at"), "rid", "loaded_at")]
+    refs = [FILE_REFS[0], orphans.Reference("bed_files", ("derived_from",), "bed_files", ("bed_id",), report=False), FILE_REFS[2]]
+    return orphans.orphan_report(orphans.orphan_cascade(entities, refs))
+
+
+P5_CYCLE = f"""
+WITH RECURSIVE dir AS ({_P5_FILES}),
+lost AS (SELECT row_id AS bed_id FROM dir UNION SELECT f.bed_id FROM bed_files f JOIN lost ON f.bed_id // 2 = lost.bed_id)
+SELECT table_name, period, 'direct' AS kind, status, count(*) AS n FROM dir GROUP BY ALL
+UNION ALL SELECT 'bed_files', strftime(uploaded_at, '%Y-%m'), 'inherited', 'inherited', count(*) FROM bed_files WHERE bed_id IN (SELECT bed_id FROM lost) AND bed_id NOT IN (SELECT row_id FROM dir) GROUP BY ALL
+UNION ALL SELECT 'bed3_ranges', strftime(loaded_at, '%Y-%m'), 'inherited', 'inherited', count(*) FROM bed3_ranges WHERE bed_id IN (SELECT bed_id FROM lost) GROUP BY ALL"""
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_join_profile, p2_found, p2_totals, p3_found, p3_valid, p4_percentiles, p4_monthly, p4_rank_bounds, p4_rank_bounds_stats, p5_found, p5_cascade, p5_cycle)}
+SQL = {"p1_found": P1_FOUND, "p1_profile": P1_PROFILE, "p1_join_profile": P1_JOIN_PROFILE, "p2_found": P2_FOUND, "p2_totals": P2_TOTALS, "p3_found": P3_FOUND, "p3_valid": P3_VALID, "p4_rank_bounds": P4_RANK_BOUNDS, "p4_rank_bounds_stats": P4_RANK_BOUNDS_STATS, "p5_found": P5_FOUND, "p5_cascade": P5_CASCADE, "p5_cycle": P5_CYCLE}

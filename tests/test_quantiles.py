@@ -102,3 +102,32 @@ def test_flush_and_empty(spark):
     a = Q.percentiles(Q.combine(Q.partials(df, ["g"], "x", flush=500), ["g"], flush=700), ["g"]).orderBy("g").collect()
     assert a == Q.group_percentiles(df, ["g"], "x").orderBy("g").collect()
     assert Q.group_percentiles(df.limit(0), ["g"], "x").count() == 0
+
+
+def test_equal_values_in_a_sketch():
+    """k equally frequent values, all hashed: the stated rank error holds."""
+    for k in (50, 80, 128, 256):
+        for seed in range(6):
+            x = np.repeat(np.random.default_rng(seed).normal(size=k), 40)
+            code, n = np.unique(Q.DEFAULT.encode(x), return_counts=True)
+            _, got = Q.DEFAULT.invert(*Q.DEFAULT.hash_codes(code, n), Q.PERCENTILES)
+            assert max(error(x, p, v) for p, v in zip(Q.PERCENTILES, got)) <= Q.RANK_ERROR, (k, seed)
+
+
+def test_same_answers_however_the_job_is_cut(spark):
+    """Hashing is decided by a group's codes over all partial results, not by what one task happens to see."""
+    rng = np.random.default_rng(3)
+    shape = Q.Dyadic(columns=32, rows=3, top=6)
+    rows = [("large", float(v)) for v in rng.normal(size=9000)] + [("edge", float(v)) for v in rng.normal(size=shape.cells)] + [("small", float(v)) for v in rng.normal(size=300)]
+    df, got = spark.createDataFrame(rows, "g string, x double"), []
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for n in (1, 8, 64):
+            for adaptive in ("true", "false"):
+                spark.conf.set("spark.sql.shuffle.partitions", n)
+                spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+                got.append(Q.group_percentiles(df.repartition(n), ["g"], "x", shape=shape).orderBy("g").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(x == got[0] for x in got)
