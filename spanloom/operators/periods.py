@@ -39,11 +39,13 @@ def striped_periods(df: DataFrame, keys: Sequence[str], stripe: int) -> tuple[Da
     """
     keys = list(keys)
     rows = valid_rows(df, keys).select(*keys, F.col(START).cast("long").alias(START), F.col(END).cast("long").alias(END))
-    shape = rows.groupBy(*keys, START).agg(F.max(END).alias(END)).withColumn("_part", stripe_of(START, stripe))
+    # never null, so that the join of the two tables asks nothing more of one of them and both come from the same exchange
+    number = F.coalesce(stripe_of(START, stripe), F.lit(0))
+    shape = rows.groupBy(*keys, START).agg(F.max(END).alias(END)).withColumn("_part", number)
     order = Window.partitionBy(*keys).orderBy("_part")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("_part") * F.lit(stripe)
-    most = rows.groupBy(*keys, stripe_of(START, stripe).alias("_part")).agg(F.max(END).alias("_most"))
+    most = rows.groupBy(*keys, number.alias("_part")).agg(F.max(END).alias("_most"))
     carried = most.withColumn("_carry", F.max("_most").over(earlier)).where(F.col("_carry") >= begin)
     carried = carried.select(*keys, (begin - 1).alias(START), F.col("_carry").alias(END), "_part")
     local = session_periods(shape.select(*keys, START, END, "_part").unionByName(carried), [*keys, "_part"])
