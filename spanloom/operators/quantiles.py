@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import lookup_join
+from ..session import cut_lineage
 
 RANK_ERROR = 0.02
 PERCENTILES = (1, 25, 50, 75, 99)
@@ -201,7 +202,7 @@ def combine(parts: DataFrame, keys: Sequence[str], shape: Dyadic = DEFAULT, salt
     """
     keys = list(keys)
     names = [f"_g{i}" for i in range(len(keys))]
-    cells = parts.groupBy(*keys, "cell").agg(F.sum("n").alias("n")).where("n <> 0")
+    cells = cut_lineage(parts.groupBy(*keys, "cell").agg(F.sum("n").alias("n")).where("n <> 0"))  # used three times
     plain = F.count(F.when(F.col("cell") < 0, 1))
     large = cells.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg((F.max(F.col("cell") >= 0) | (plain > shape.cells)).alias("_large")).where("_large")
     rows = lookup_join(cells, large, keys, names, "left", "cell", null_safe=True).select(*keys, "cell", "n", F.coalesce("_large", F.lit(False)).alias("_large"))

@@ -259,19 +259,18 @@ UNION ALL SELECT table_name, period, 'inherited', 'inherited', count(*) FROM inh
 
 
 def p5_cycle(spark, d):
-    """A graph with a cycle, to the fixpoint: each file was derived from the one of half its number, and falls with it."""
-    files = table(spark, d, "bed_files").select("bed_id", "genome", "uploaded_at", F.expr("bed_id div 2").alias("derived_from"))
-    entities = [orphans.Entity("genomes", table(spark, d, "genomes"), "genome"), orphans.Entity("bed_files", files, "bed_id", "uploaded_at"), orphans.Entity("bed3_ranges", table(spark, d, "bed3_ranges").select("rid", "bed_id", "loaded_at"), "rid", "loaded_at")]
-    refs = [FILE_REFS[0], orphans.Reference("bed_files", ("derived_from",), "bed_files", ("bed_id",), report=False), FILE_REFS[2]]
+    """A graph with a cycle, to the fixpoint: each run takes the output of the run of half its number, and falls with it."""
+    runs = table(spark, d, "filter_runs").select("run_id", "genome", "started_at", F.expr("run_id div 2").alias("takes"))
+    entities = [orphans.Entity("genomes", table(spark, d, "genomes"), "genome"), orphans.Entity("filter_runs", runs, "run_id", "started_at")]
+    refs = [RUN_REF, orphans.Reference("filter_runs", ("takes",), "filter_runs", ("run_id",), report=False)]
     return orphans.orphan_report(orphans.orphan_cascade(entities, refs))
 
 
 P5_CYCLE = f"""
-WITH RECURSIVE dir AS ({_P5_FILES}),
-lost AS (SELECT row_id AS bed_id FROM dir UNION SELECT f.bed_id FROM bed_files f JOIN lost ON f.bed_id // 2 = lost.bed_id)
+WITH RECURSIVE dir AS ({_P5_RUNS}),
+lost AS (SELECT row_id AS run_id FROM dir UNION SELECT r.run_id FROM filter_runs r JOIN lost ON r.run_id // 2 = lost.run_id)
 SELECT table_name, period, 'direct' AS kind, status, count(*) AS n FROM dir GROUP BY ALL
-UNION ALL SELECT 'bed_files', strftime(uploaded_at, '%Y-%m'), 'inherited', 'inherited', count(*) FROM bed_files WHERE bed_id IN (SELECT bed_id FROM lost) AND bed_id NOT IN (SELECT row_id FROM dir) GROUP BY ALL
-UNION ALL SELECT 'bed3_ranges', strftime(loaded_at, '%Y-%m'), 'inherited', 'inherited', count(*) FROM bed3_ranges WHERE bed_id IN (SELECT bed_id FROM lost) GROUP BY ALL"""
+UNION ALL SELECT 'filter_runs', strftime(started_at, '%Y-%m'), 'inherited', 'inherited', count(*) FROM filter_runs WHERE run_id IN (SELECT run_id FROM lost) AND run_id NOT IN (SELECT row_id FROM dir) GROUP BY ALL"""
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_join_profile, p2_found, p2_totals, p3_found, p3_valid, p4_percentiles, p4_monthly, p4_rank_bounds, p4_rank_bounds_stats, p5_found, p5_cascade, p5_cycle)}
