@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections import OrderedDict
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +23,30 @@ SEQLENS_SCHEMA = T.StructType([T.StructField(SEQ, T.StringType()), T.StructField
 GENOME_BROADCAST_ROWS = 200_000
 
 
-def bounded_broadcast(df: DataFrame, rows: int = GENOME_BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the table has at most ``rows`` rows, which a limited count proves; else the table as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+_SMALL: OrderedDict[tuple, bool] = OrderedDict()
+
+
+def proved_small(df: DataFrame, rows: int = GENOME_BROADCAST_ROWS) -> bool:
+    """Whether the table has at most ``rows`` rows, which a limited count proves.
+
+    A proof is kept for as long as the plan and the files it reads, with their sizes and times, are the same, so that
+    a genome is counted once and not by every operator that looks something up in it.
+    """
+    files, leaves = [], df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    while leaves.hasNext():
+        if not leaves.next().nodeName().startswith("LogicalRelation"):
+            return df.limit(rows + 1).count() <= rows
+    for f in df.inputFiles():
+        place = f.removeprefix("file://")
+        if len(files) == 1000 or not os.path.isfile(place):
+            return df.limit(rows + 1).count() <= rows
+        files.append((f, os.path.getsize(place), os.path.getmtime(place)))
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), rows, tuple(files))
+    if key not in _SMALL:
+        _SMALL[key] = df.limit(rows + 1).count() <= rows
+        while len(_SMALL) > 256:
+            _SMALL.popitem(last=False)
+    return _SMALL[key]
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fact_keys: Sequence[str], dim_keys: Sequence[str], how: str = "left", spread_by: str | None = None, rows: int = GENOME_BROADCAST_ROWS, salts: int = 16, null_safe: bool = False) -> DataFrame:
@@ -35,7 +58,7 @@ def lookup_join(fact: DataFrame, dim: DataFrame, fact_keys: Sequence[str], dim_k
     """
     same = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
     on = [same(fact[a], dim[b]) for a, b in zip(fact_keys, dim_keys)]
-    if dim.limit(rows + 1).count() <= rows:
+    if rows >= 0 and proved_small(dim, rows):
         return fact.join(F.broadcast(dim), on, how)
     if spread_by is None:
         return fact.join(dim, on, how)
@@ -93,11 +116,11 @@ class RangeFrame:
             df = df.where(arith.valid_range(START, END))
         else:
             df = df.withColumn(END, F.when(arith.valid_range(START, END), F.col(END)).otherwise(F.raise_error(F.concat(F.lit("invalid range on "), F.coalesce(F.col(SEQ), F.lit("null")))).cast("long")))
-        names = bounded_broadcast(self.seqlens.select(F.col(SEQ).alias("__known")).distinct())
+        names = self.seqlens.select(F.col(SEQ).alias("__known")).distinct()
         if missing == "drop":
-            df = df.join(names, df[SEQ] == names["__known"], "left_semi")
+            df = lookup_join(df, names, [SEQ], ["__known"], "left_semi", START)
         else:
-            df = df.join(names, df[SEQ] == names["__known"], "left")
+            df = lookup_join(df, names, [SEQ], ["__known"], "left", START)
             df = df.withColumn(SEQ, F.when(F.col("__known").isNotNull(), F.col(SEQ)).otherwise(F.raise_error(F.concat(F.lit("unknown sequence "), F.coalesce(F.col(SEQ), F.lit("null")))).cast("string"))).drop("__known")
         return RangeFrame(df, self.seqlens)
 
@@ -124,7 +147,7 @@ class RangeFrame:
     def with_lengths(self, name: str = "__len") -> DataFrame:
         """The rows whose name is known, with the length of their sequence."""
         dim = self.seqlens.select(F.col(SEQ).alias("__k"), F.col(LENGTH).alias(name))
-        return self.df.join(bounded_broadcast(dim), self.df[SEQ] == F.col("__k")).drop("__k")
+        return lookup_join(self.df, dim, [SEQ], ["__k"], "inner", START).drop("__k")
 
     def _on(self, df: DataFrame) -> RangeFrame:
         return RangeFrame(df, self.seqlens)
@@ -143,7 +166,7 @@ class RangeFrame:
 
     def filter_chroms(self) -> RangeFrame:
         """Rows whose name is in the genome, payload kept."""
-        return self._on(self.df.join(bounded_broadcast(self.seqlens.select(SEQ).distinct()), SEQ, "left_semi"))
+        return self._on(lookup_join(self.df, self.seqlens.select(F.col(SEQ).alias("__k")).distinct(), [SEQ], ["__k"], "left_semi", START))
 
     def map_data(self, **columns: Column) -> RangeFrame:
         """Replace the payload by the given expressions."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arith import overlap_width, window_ids
-from ..model import END, LENGTH, SEQ, START, RangeFrame, bounded_broadcast
+from ..model import END, LENGTH, SEQ, START, RangeFrame, lookup_join
 from .disjoin import disjoin
 from .merge import merge
 
@@ -16,8 +16,8 @@ from .merge import merge
 def _to_windows(df: DataFrame, seqlens: DataFrame, width: int, step: int, chop: bool, keys: Sequence[str]) -> DataFrame:
     """Positions of each range that fall in each regular window.  The window numbers follow from the coordinates, so
     there is no join with the windows, only one with the genome for its lengths."""
-    dim = bounded_broadcast(seqlens.select(F.col(SEQ).alias("_k"), F.col(LENGTH).alias("_len")))
-    rows = df.join(dim, F.col(SEQ) == F.col("_k")).withColumn("_w", F.explode(window_ids(START, F.least(END, "_len"), width, step)))
+    dim = seqlens.select(F.col(SEQ).alias("_k"), F.col(LENGTH).alias("_len"))
+    rows = lookup_join(df, dim, [SEQ], ["_k"], "inner", START).withColumn("_w", F.explode(window_ids(START, F.least(END, "_len"), width, step)))
     lo = F.col("_w") * F.lit(step)
     full = lo + F.lit(width)
     rows = rows.where(full < F.col("_len")) if chop else rows.where(lo < F.col("_len"))
@@ -38,7 +38,8 @@ def feature_density(df: DataFrame, seqlens: DataFrame, width: int, step: int | N
 
 def feature_density_exclusive(df: DataFrame, seqlens: DataFrame, width: int, step: int | None = None, chop: bool = False, feature: str = "feature_name", **kw) -> DataFrame:
     """Long form keyed by the set of features (sorted, comma-joined) that cover a position, each position once."""
-    segs = disjoin(df.where(F.col(feature).isNotNull()), feature, **kw)
+    apart = merge(df.where(F.col(feature).isNotNull()).select(SEQ, START, END, F.col(feature).alias("feature")), 0, keys=(SEQ, "feature"))
+    segs = disjoin(apart, "feature", merged=True, **kw)
     segs = segs.select(SEQ, START, END, F.array_join("labels", ",").alias("feature_set"))
     return _to_windows(segs, seqlens, width, step or width, chop, ["feature_set"])
 

@@ -11,6 +11,7 @@ from ..functions.arith import valid_range
 from ..model import END, SEQ, START
 from .islands import STRIPE, next_position
 from .join import overlap_pairs
+from .merge import merge
 
 
 def _steps(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,7 +44,23 @@ def segments(df: DataFrame, stripe: int = STRIPE) -> DataFrame:
     return depth(df, (SEQ,), stripe).select(SEQ, START, END)
 
 
-def disjoin(df: DataFrame, label: str, name: str = "labels", bin_size: int | None = None, levels: int | None = None, stripe: int = STRIPE) -> DataFrame:
-    """Elementary segments with the sorted set of the labels that cover them; null labels are left out of the set."""
-    pairs = overlap_pairs(segments(df, stripe), df.select(SEQ, START, END, F.col(label).alias("label")), bin_size, levels)
+def disjoin(df: DataFrame, label: str, name: str = "labels", bin_size: int | None = None, levels: int | None = None, stripe: int = STRIPE, merged: bool = False) -> DataFrame:
+    """Elementary segments with the sorted set of the labels that cover them; null labels are left out of the set.
+
+    The ranges of a label are merged before they meet the segments, so that a segment pairs with a label once, however
+    many ranges lie there.  ``merged`` says that those of a label are apart already.
+    """
+    rows = df.select(SEQ, START, END, F.struct(F.col(label).alias("v")).alias("_l"))  # a null label is a label here
+    whole = rows if merged else merge(rows, 0, keys=(SEQ, "_l"), stripe=stripe)
+    pairs = overlap_pairs(segments(df, stripe), whole.select(SEQ, START, END, F.col("_l.v").alias("label")), bin_size, levels)
     return pairs.groupBy(SEQ, START, END).agg(F.array_sort(F.collect_set("r_label")).alias(name))
+
+
+def disjoin_within(left: DataFrame, right: DataFrame, label: str, name: str = "labels", **kw) -> DataFrame:
+    """(seqname, left_start, left_end, range_start, range_end, labels): for each distinct left range, the elementary
+    segments of the right ranges that overlap it, cut off at its bounds.  Left ranges without overlaps give no rows."""
+    pairs = overlap_pairs(left.select(SEQ, START, END).distinct(), right.select(SEQ, START, END, F.col(label).alias("label")), **kw)
+    at = F.struct(F.col(SEQ).alias("q"), F.col(START).alias("s"), F.col(END).alias("e"))
+    clipped = pairs.select(at.alias(SEQ), F.greatest(START, f"r_{START}").alias(START), F.least(END, f"r_{END}").alias(END), F.col("r_label").alias("label"))
+    out = disjoin(clipped, "label", name)
+    return out.select(F.col(f"{SEQ}.q").alias(SEQ), F.col(f"{SEQ}.s").alias("left_start"), F.col(f"{SEQ}.e").alias("left_end"), START, END, name)

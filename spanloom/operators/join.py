@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import agg as A
 from ..functions.arith import overlap_width, valid_range, window_ids
-from ..model import END, LENGTH, SEQ, START, RangeFrame, bounded_broadcast
+from ..model import END, LENGTH, SEQ, START, RangeFrame, lookup_join
 
 #: Bins that a range may touch on one level before it moves to a coarser one, and the growth of bins from level to level.
 MAX_BINS, GROWTH = 16, 64
@@ -132,9 +132,9 @@ def map_windows(right: DataFrame, seqlens: DataFrame, width: int, operations: Se
     """map_scores over all regular windows of the genome.  The windows that a range overlaps follow from its
     coordinates and the length of the sequence, so the ranges are not joined with the windows, only their aggregates."""
     step, x = step or width, F.col(score).cast("double")
-    dim = bounded_broadcast(seqlens.select(F.col(SEQ).alias("__k"), F.col(LENGTH).alias("__len")))
+    dim = seqlens.select(F.col(SEQ).alias("__k"), F.col(LENGTH).alias("__len"))
     rows = right.where(F.col(score).isNotNull() & valid_range(START, END)).select(SEQ, START, END, score, *order)
-    rows = rows.join(dim, F.col(SEQ) == F.col("__k")).where(F.col(START) < F.col("__len"))
+    rows = lookup_join(rows, dim, [SEQ], ["__k"], "inner", START).where(F.col(START) < F.col("__len"))
     rows = rows.withColumn("__w", F.explode(window_ids(START, F.least(END, "__len"), width, step)))
     got = rows.groupBy(SEQ, (F.col("__w") * step).alias("__lo")).agg(*A.operations(operations, x, [F.col(START), F.col(END), *map(F.col, order)]))
     windows = RangeFrame.from_windows(seqlens, width, step, chop).df

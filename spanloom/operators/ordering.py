@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arith import natural_key
-from ..model import END, ORD, SEQ, START, bounded_broadcast
+from ..model import END, ORD, SEQ, START, lookup_join
 from ..session import cut_lineage
 
 
@@ -16,11 +16,18 @@ def sort_ranges(df: DataFrame, seqlens: DataFrame | None = None, *more: str) ->
     """Range sort by genome order (or natural name order), start, end."""
     if seqlens is None:
         return df.orderBy(natural_key(SEQ), START, END, *more)
-    dim = bounded_broadcast(seqlens.select(F.col(SEQ).alias("_k"), F.col(ORD).alias("_ord")))
-    out = df.join(dim, F.col(SEQ) == F.col("_k"), "left")
+    out = lookup_join(df, seqlens.select(F.col(SEQ).alias("_k"), F.col(ORD).alias("_ord")), [SEQ], ["_k"], "left", START)
     return out.orderBy(F.col("_ord").asc_nulls_last(), natural_key(SEQ), START, END, *more).drop("_k", "_ord")
 
 
+def range_positions(df: DataFrame, seqlens: DataFrame, *more: str, name: str = "position") -> DataFrame:
+    """Number the rows in the order of sort_ranges, names outside the genome at the end; ``more`` must make it total."""
+    dim = seqlens.select(F.col(SEQ).alias("_k"), F.col(ORD).alias("_ord"))
+    rows = lookup_join(df, dim, [SEQ], ["_k"], "left", more[0] if more else START).drop("_k")
+    rows = rows.withColumns({"_out": F.col("_ord").isNull(), "_name": natural_key(SEQ)})
+    return with_position(rows, ["_out", "_ord", "_name", START, END, *more], name).drop("_out", "_ord", "_name")
+
+
 def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Number the rows 0, 1, ... under an order that is total: a range sort, counts per partition, offsets.
 

@@ -22,12 +22,12 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder of spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir.
 
     Only where that setting is absent, as in local tests, a temporary folder is set; a cluster must name one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         place = sc.getConf().get("spark.checkpoint.dir")
         if place is None:
@@ -35,4 +35,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             place = tempfile.mkdtemp(prefix="spanloom-checkpoint-")
         sc.setCheckpointDir(place)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -7,21 +7,61 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import RangeFrame
-from ..operators.sequences import CHUNK, chunk_array, chunk_text
+from ..model import RangeFrame, lookup_join
+from ..operators.sequences import CHUNK, chunk_array
 
 
 def read_fasta(spark: SparkSession, path: str, names: Sequence[str] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(seqname, chunk, chunk_text, total) of a FASTA file, gzip by extension; a name ends at the first white space."""
-    raw = spark.read.option("lineSep", ">").text(path).where("value <> ''")
-    parts = F.split("value", "\r?\n", 2)
-    rows = raw.select(F.regexp_extract(parts[0], r"^\S*", 0).alias("name"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("text"))
+    """(seqname, chunk, chunk_text, total) of a FASTA file, gzip by extension; a name ends at the first white space.
+
+    The file is read line by line, and no row ever holds more than a line or a chunk: lines carry their place in the file,
+    a header's place opens its sequence, and running sums of line lengths give the position of each line.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    rows = _with_place(lines)
+    head = F.col("value").startswith(">")
+    part = Window.partitionBy("block").orderBy("nth")
+    upto = part.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"name": F.when(head, F.regexp_extract("value", r"^>(\S*)", 1)), "text": F.when(head, "").otherwise(F.regexp_replace("value", r"\s", ""))})
+    rows = rows.withColumns({"opened": F.last(F.when(head, F.col("nth")), True).over(upto), "own": F.last("name", True).over(upto)})
+    rows = rows.withColumn("before", F.sum(F.length("text")).over(Window.partitionBy("block", "opened").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)) - F.length("text"))
+    # what a block must know of those before it: the sequence that is open, and how much of it they hold
+    ends = rows.groupBy("block").agg(F.max_by("own", "nth").alias("last"), F.max("opened").alias("at"), F.sum(F.when(F.col("opened").isNull(), F.length("text")).otherwise(0)).alias("head"), F.max_by(F.col("before") + F.length("text"), "nth").alias("tail"))
+    order = Window.partitionBy(F.col("block.file_path")).orderBy(F.col("block.file_block_start"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"open": F.last("last", True).over(earlier), "n": F.count("last").over(earlier)})
+    run = Window.partitionBy(F.col("block.file_path"), "n").orderBy(F.col("block.file_block_start"))
+    carried = F.when(F.col("at").isNull(), F.col("head")).otherwise(F.lit(0))
+    ends = ends.withColumn("_since", F.coalesce(F.sum(carried).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = ends.withColumn("_tail", F.last(F.when(F.col("at").isNotNull(), F.col("tail")), True).over(earlier))
+    ends = ends.select(F.col("block").alias("_b"), "open", (F.col("_since") + F.coalesce("_tail", F.lit(0))).alias("offset"))
+    rows = rows.join(ends, F.col("block") == F.col("_b"))
+    whose = F.coalesce("own", "open")
+    at = F.col("before") + F.when(F.col("opened").isNull(), F.col("offset")).otherwise(0)
+    pieces = rows.where(whose.isNotNull() & (F.length("text") > 0)).select(whose.alias("seqname"), at.cast("long").alias("at"), "text")
     if names is not None:
-        rows = rows.where(F.col("name").isin(list(names)))
-    return chunk_text(rows, "text", chunk, "name")
+        pieces = pieces.where(F.col("seqname").isin(list(names)))
+    return _chunks_of(pieces, chunk)
+
+
+def _with_place(lines: DataFrame) -> DataFrame:
+    """Lines with the split that they come from and their number in it, in file order: a split is one task's run of lines."""
+    numbered = lines.select("value", F.struct("file_path", "file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    return numbered
+
+
+def _chunks_of(pieces: DataFrame, chunk: int) -> DataFrame:
+    """Stretches of text with their position put together to chunks."""
+    c, n = F.lit(chunk).cast("long"), F.length("text")
+    cut = pieces.withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / c), F.floor((F.col("at") + n - 1) / c))))
+    lo, hi = F.greatest(F.col("k") * c, F.col("at")), F.least((F.col("k") + 1) * c, F.col("at") + n)
+    cut = cut.select("seqname", F.col("k").cast("long").alias("chunk"), F.struct(lo.alias("lo"), F.substring("text", (lo - F.col("at") + 1).cast("int"), (hi - lo).cast("int")).alias("t")).alias("p"), hi.alias("hi"))
+    out = cut.groupBy("seqname", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "").alias("chunk_text"), F.max("hi").alias("_hi"))
+    total = cut.groupBy(F.col("seqname").alias("_q")).agg(F.max("hi").cast("long").alias("total"))
+    return lookup_join(out, total, ["seqname"], ["_q"], "inner", "chunk").select("seqname", "chunk", "chunk_text", "total")
 
 
 def read_fai(path: str | Path) -> list[tuple[str, int, int, int, int]]:

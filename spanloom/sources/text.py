@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,28 +24,52 @@ BED5 = T.StructType([*BED4.fields, T.StructField("score", D)])
 BEDLIKE = T.StructType([*BED3.fields, T.StructField("rest", S)])
 #: What stands for a missing score.
 MISSING = (".",)
+GZIP = b"\x1f\x8b"
 
 
 # ---- the driver's look at a file --------------------------------------------------------------------------------
+def first_bytes(path: str | Path, n: int) -> bytes:
+    """The first n bytes of a file, from the driver's disk or, for a path with a scheme, from any storage that Spark reads."""
+    if "://" not in str(path):
+        with open(path, "rb") as f:
+            return f.read(n)
+    spark = SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
 def is_gzipped(path: str | Path) -> bool:
     """By the first two bytes, not the name; a file of under two bytes is an error."""
-    with open(path, "rb") as f:
-        head = f.read(2)
+    head = first_bytes(path, 2)
     if len(head) < 2:
         raise EmptyFileError(f"{path} has under two bytes")
-    return head == b"\x1f\x8b"
+    return head == GZIP
+
+
+def head_lines(path: str | Path) -> Iterator[str]:
+    """Lines of a file one after the other; no more of it is read than what they need, times four at most."""
+    gz, n, done = is_gzipped(path), 1 << 16, 0
+    while True:
+        raw = first_bytes(path, n)
+        text = zlib.decompressobj(31).decompress(raw) if gz else raw
+        whole = len(raw) < n
+        lines = text.split(b"\n")
+        if not whole or not lines[-1]:
+            lines.pop()  # not read to its end, or nothing after the last line
+        for line in lines[done:]:
+            yield line.decode()
+        if whole:
+            return
+        n, done = 4 * n, max(done, len(lines))
 
 
 def first_lines(path: str | Path, comment: str | None = "#", limit: int = 1) -> list[str]:
     """The first lines that are no comments, without reading on."""
-    out: list[str] = []
-    with (gzip.open if is_gzipped(path) else open)(path, "rt") as f:
-        for line in f:
-            if comment is None or not line.startswith(comment):
-                out.append(line.rstrip("\n"))
-                if len(out) >= limit:
-                    break
-    return out
+    return list(islice((x for x in head_lines(path) if comment is None or not x.startswith(comment)), limit))
 
 
 def base_extension(path: str | Path) -> str | None:
@@ -97,6 +123,12 @@ def detect(path: str | Path) -> str:
     raise UnsupportedFormatError(f"{path} is neither BED nor BED-like")
 
 
+def after_preamble(lines: DataFrame, p: Preamble, line: str = "value", comment: str = "#") -> DataFrame:
+    """The lines that follow a file's preamble: neither comments nor its header."""
+    rows = lines.where(~F.col(line).startswith(comment))
+    return rows if p.header is None else rows.where(F.col(line) != p.header)
+
+
 @dataclass(frozen=True)
 class Preamble:
     metadata: list[str]
@@ -107,29 +139,26 @@ class Preamble:
 def preamble(path: str | Path, comment: str = "#", header: str | None = None) -> Preamble:
     """Comment lines at the top, the header (the first line that starts with ``header``) and the number of columns."""
     meta, head = [], None
-    with (gzip.open if is_gzipped(path) else open)(path, "rt") as f:
-        for line in f:
-            line = line.rstrip("\n")
-            if line.startswith(comment):
-                meta.append(line)
-            elif header is not None and head is None and line.startswith(header):
-                head = line
-            else:
-                return Preamble(meta, head, len(line.split("\t")))
+    for line in head_lines(path):
+        if line.startswith(comment):
+            meta.append(line)
+        elif header is not None and head is None and line.startswith(header):
+            head = line
+        else:
+            return Preamble(meta, head, len(line.split("\t")))
     raise EmptyFileError(f"{path} has no records")
 
 
 def read_seqlens(spark: SparkSession, path: str | Path) -> DataFrame:
     """A genome file: name and length per line, order kept, no comments; parsed here, as it is small."""
     found: dict[str, int] = {}
-    with (gzip.open if is_gzipped(path) else open)(path, "rt") as f:
-        for n, line in enumerate(f, 1):
-            parts = line.rstrip("\r\n").split("\t")
-            if len(parts) < 2 or not _unsigned(parts[1]):
-                raise GenomeFileError(f"{path}, line {n}: no name and length")
-            if parts[0] in found:
-                raise GenomeFileError(f"{path}, line {n}: {parts[0]} again")
-            found[parts[0]] = int(parts[1])
+    for n, line in enumerate(head_lines(path), 1):
+        parts = line.rstrip("\r").split("\t")
+        if len(parts) < 2 or not _unsigned(parts[1]):
+            raise GenomeFileError(f"{path}, line {n}: no name and length")
+        if parts[0] in found:
+            raise GenomeFileError(f"{path}, line {n}: {parts[0]} again")
+        found[parts[0]] = int(parts[1])
     return RangeFrame.seqlens_from(spark, found)
 
 
@@ -164,18 +193,24 @@ def parse_lines(df: DataFrame, schema: T.StructType, line: str = "value", commen
 
 
 def read_lines(spark: SparkSession, path: str | Path) -> DataFrame:
-    """Lines of a file or folder as column ``value``; a gzip file whose name does not say so is unpacked in a task."""
+    """Lines of a file or folder as column ``value``; a gzip file whose name does not say so is unpacked in a task, block by
+    block, and cut at line feeds only, as Spark cuts plain files (there also at carriage returns)."""
     p = Path(path)
-    if p.is_file() and p.suffix != ".gz" and p.stat().st_size >= 2 and is_gzipped(p):
-
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for raw in b.column(0).to_pylist():
-                    lines = gzip.decompress(raw).decode().splitlines()
-                    yield pa.record_batch([pa.array(lines, pa.string())], ["value"])
-
-        return spark.read.format("binaryFile").load(str(p)).select("content").mapInArrow(unpack, "value string")
-    return spark.read.text(str(path))
+    if "://" in str(path) or not p.is_file() or p.suffix == ".gz" or p.stat().st_size < 2 or not is_gzipped(p):
+        return spark.read.text(str(path))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place in b.column(0).to_pylist():
+                rest = b""
+                with gzip.open(place, "rb") as f:
+                    while block := f.read(4 << 20):
+                        *lines, rest = (rest + block).split(b"\n")
+                        yield pa.record_batch([pa.array([x.removesuffix(b"\r").decode() for x in lines], pa.string())], ["value"])
+                if rest:
+                    yield pa.record_batch([pa.array([rest.removesuffix(b"\r").decode()], pa.string())], ["value"])
+
+    return spark.createDataFrame([(str(p.resolve()),)], "place string").mapInArrow(unpack, "value string")
 
 
 def read_tsv(spark: SparkSession, path, schema: T.StructType, missing: dict[str, Sequence[str]] | None = None, strict: bool = True) -> DataFrame:

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import arith
-from ..model import END, LENGTH, SEQ, START, bounded_broadcast
+from ..model import END, LENGTH, SEQ, START, lookup_join
 from ..operators import hotkeys, join, quantiles
 
 
 def with_genome(stream: DataFrame, seqlens: DataFrame, name: str = "_len") -> DataFrame:
     """Rows on known sequences with their length (stream-static join, state-free)."""
-    dim = bounded_broadcast(seqlens.select(F.col(SEQ).alias("_k"), F.col(LENGTH).alias(name)))
-    return stream.join(dim, F.col(SEQ) == F.col("_k")).drop("_k")
+    dim = seqlens.select(F.col(SEQ).alias("_k"), F.col(LENGTH).alias(name))
+    return lookup_join(stream, dim, [SEQ], ["_k"], "inner", START).drop("_k")
 
 
 def filter_chroms(stream: DataFrame, seqlens: DataFrame) -> DataFrame:
