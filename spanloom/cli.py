@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .errors import NoOperationError, NoRowsError, UnsupportedFormatError
 from .functions import agg as A
-from .model import END, SEQ, START, RangeFrame
+from .model import END, SEQ, START, RangeFrame, lookup_join
 from .operators import density, join, merge
 from .session import local_session
-from .sinks.tsv import BED_TSV, Report, TsvConfig, write_tsv
+from .sinks.tsv import BED_TSV, Report, TsvConfig, write_tsv, write_tsv_folder
 from .sources.random import random_ranges
 from .sources.text import read_bed5, read_ranges, read_seqlens
 
@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         for side in (f for f in flags if f in ("left", "right")):
             c.add_argument(f"--{side}", required=True)
         c.add_argument("-o", "--output")
+        c.add_argument("--parts", action="store_true", help="write a folder of parts from the executors instead of one file")
         if "skip" in flags:
             c.add_argument("-s", "--skip-missing", action="store_true")
         return c
@@ -72,7 +73,9 @@ def _known(rf: RangeFrame, skip: bool, report: Report) -> RangeFrame:
     if not skip:
         return rf.require_names()
     kept = rf.filter_chroms()
-    report.add_issue("rows on sequences that the genome does not hold were skipped", rf.df.count() - kept.df.count())
+    names = rf.seqlens.select(F.col(SEQ).alias("_k"), F.lit(True).alias("_hit")).distinct()
+    skipped = lookup_join(rf.df.select(SEQ, START), names, [SEQ], ["_k"], "left", START).where("_hit IS NULL").count()  # one reading
+    report.add_issue("rows on sequences that the genome does not hold were skipped", skipped)
     return kept
 
 
@@ -83,7 +86,10 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Rep
     load = lambda path: RangeFrame(read_ranges(spark, path)[1], genome)
 
     def put(df: DataFrame, config: TsvConfig = BED_TSV, ordered: bool = True) -> None:
-        write_tsv(df, a.output, config, genome, ordered)
+        if a.parts and a.output:
+            write_tsv_folder(df, a.output, config, genome, a.output.endswith(".gz"))
+        else:
+            write_tsv(df, a.output, config, genome, ordered)
 
     if a.command == "adjust":
         put(_known(load(a.bedfile), False, report).adjust_ranges(-a.both, a.both).df)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import agg as A
 from ..functions import arith as R
 from ..functions import nucleotide as N
 from ..model import END, SEQ, START, RangeFrame, lookup_join
 from ..operators import density, disjoin, join, merge, ordering, sequences
-from ..sinks.tsv import to_lines
+from ..session import shared_folder
+from ..sinks.tsv import TsvConfig, to_lines, write_tsv_folder
 from ..sources import random as rnd
+from ..sources import sequences as seqsrc
 from ..sources import text as txt
 from .tables import BED3, BED5, SEQLENS, bed3, bed5, seqlens, table
 
@@ -73,6 +78,64 @@ def S04_bed5_scan(spark, d):
     return txt.parse_lines(lines_of(rows, SEQ, START, END, "feature_name", "score"), txt.BED5, missing={"score": txt.MISSING})
 
 
+_ODD = "CASE WHEN isnan(score) THEN 'nan' WHEN isinf(score) THEN CASE WHEN score > 0 THEN 'inf' ELSE '-inf' END END"
+
+
+@query(f"SELECT seqname, range_start, range_end, coalesce(feature_name, '.') AS feature_name, CASE WHEN isfinite(score) THEN score END AS score, {_ODD} AS odd_score FROM {BED5} WHERE NOT regexp_matches(coalesce(feature_name, ''), '[\\t\\n\\r]')")
+def S04_bed5_scan_all(spark, d):
+    """Names and scores as they are, written by the sink's number format and read again."""
+    rows = bed5(spark, d).where(~F.coalesce(F.col("feature_name"), F.lit("")).rlike(r"[\t\n\r]")).drop("rid")
+    got = txt.parse_lines(to_lines(rows), txt.BED5, missing={"score": txt.MISSING})
+    x = F.col("score")
+    odd = F.when(F.isnan(x), "nan").when(~A.finite(x), F.when(x > 0, "inf").otherwise("-inf"))
+    return got.select(SEQ, START, END, "feature_name", F.when(A.finite(x), x).alias("score"), odd.alias("odd_score"))
+
+
+@query(f"SELECT rid, seqname, range_start, range_end FROM {BED3}")
+def S08_gzip_folder(spark, d):
+    """Written as a folder of gzip parts with the top lines beside them, read again by the scan that looks into each file."""
+    place = f"{shared_folder(spark)}/tsv-{uuid4().hex}"
+    write_tsv_folder(bed3(spark, d).select(SEQ, START, END, "rid"), place, TsvConfig(".", ["chrom", "start", "end", "rid"], hash_header=True), seqlens(spark, d), compress=True)
+    schema = T.StructType([*txt.BED3.fields, T.StructField("rid", T.LongType())])
+    return txt.read_tsv(spark, place, schema)
+
+
+@query(f"SELECT seqname, seq_length FROM {SEQLENS}")
+def S01_read_seqlens(spark, d):
+    """The genome written as a file of the shared folder and read by its own reader."""
+    place = f"{shared_folder(spark)}/genome-{uuid4().hex}"
+    to_lines(seqlens(spark, d).orderBy("ord", SEQ).select(SEQ, "seq_length")).coalesce(1).write.text(place)  # a genome is small
+    file = next(f for f in spark.read.text(place).inputFiles())
+    return txt.read_seqlens(spark, file).select(SEQ, "seq_length")
+
+
+@query("SELECT 'd' || doc_id AS seqname, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS seq_length, md5(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS text_md5 FROM documents WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0")
+def S15_fasta(spark, d):
+    """Every text as a sequence of lines of 60 letters, written as FASTA and read line by line into chunks."""
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    body = F.regexp_replace(letters, "(.{60})", "$1\n")
+    place = f"{shared_folder(spark)}/fasta-{uuid4().hex}"
+    table(spark, d, "documents").where("text IS NOT NULL").select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" a text\n"), body)).write.text(place)
+    chunks = seqsrc.read_fasta(spark, place, chunk=CHUNK)
+    whole = chunks.groupBy(SEQ).agg(F.max("total").alias("seq_length"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "chunk_text"))), lambda x: x["chunk_text"]), "").alias("t"))
+    return whole.select(SEQ, "seq_length", F.md5("t").alias("text_md5"))
+
+
+@query(f"SELECT 100000::BIGINT AS n, 0::BIGINT AS outside FROM (SELECT 1)")
+def S21_random_inside(spark, d):
+    """Random ranges are as many as asked for and lie in their sequences."""
+    s = seqlens(spark, d)
+    rows = RangeFrame(rnd.random_ranges(spark, s, 100_000), s).with_lengths("_len")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~R.slice_ok(START, END, "_len"), 1)).alias("outside"))
+
+
+@query(f"SELECT rid, true AS same, true AS plain FROM {BED5} WHERE isfinite(score)")
+def K05_number_text(spark, d):
+    """The text of every finite score reads back as the same number and has no exponent."""
+    rows = bed5(spark, d).where(A.finite(F.col("score"))).select("rid", F.explode(F.array(A.number_text(F.col("score")))).alias("t"), "score")
+    return rows.select("rid", (F.col("t").cast("double") == F.col("score")).alias("same"), (~F.col("t").rlike("[eE]|\\.0$")).alias("plain"))
+
+
 @query(f"SELECT seqname, range_start, range_end, rid::VARCHAR || chr(9) || 'x' AS rest FROM {BED3}")
 def S05_bedlike_scan(spark, d):
     rows = bed3(spark, d).withColumn("x", F.lit("x  "))
@@ -81,8 +144,6 @@ def S05_bedlike_scan(spark, d):
 
 @query("SELECT stat_id, map_day::VARCHAR AS map_day, CASE WHEN isfinite(score_median) THEN score_median END AS score_median FROM map_stats")
 def S06_typed_tsv_scan(spark, d):
-    from pyspark.sql import types as T
-
     rows = table(spark, d, "map_stats").withColumn("m", F.when(A.finite(F.col("score_median")), F.col("score_median")))
     schema = T.StructType([T.StructField("stat_id", T.LongType()), T.StructField("map_day", T.DateType()), T.StructField("score_median", T.DoubleType())])
     out = txt.parse_lines(lines_of(rows, "stat_id", "map_day", "m"), schema, missing={"score_median": ("NA", ".")})
@@ -164,9 +225,11 @@ def P08_into_data(spark, d):
     return a.join(ordering.with_position(right, ["stat_id"], "_p"), "_p").select(SEQ, START, END, "stat_id")
 
 
-@query()
+@query(f"""SELECT a.seqname, a.range_start, a.range_end, b.value_id, b.width FROM
+ (SELECT seqname, range_start, range_end, row_number() OVER (ORDER BY seqname, range_start, range_end) AS p FROM {BED3}) a
+ JOIN (SELECT rid AS value_id, range_end - range_start AS width, row_number() OVER (ORDER BY rid) AS p FROM {BED3}) b ON a.p = b.p""")
 def P08_into_data_all(spark, d):
-    """Every range, in range order, with the value of its position, through the length check of RangeFrame; without SQL."""
+    """Every range, in range order, with the value of its position, through the length check of RangeFrame."""
     b = bed3(spark, d)
     values = b.select(F.col("rid").alias("value_id"), (F.col(END) - F.col(START)).alias("width"))
     return RangeFrame(b, seqlens(spark, d)).into_data(values, [SEQ, START, END], ["value_id"]).df
@@ -259,6 +322,42 @@ def J01_left_overlaps(spark, d):
     return out.select("rid", SEQ, START, END, F.size("overlaps").cast("long").alias("n"), ids.alias("right_ids"))
 
 
+_SPANS = "coalesce(string_agg(r.range_start || '-' || r.range_end, ',' ORDER BY r.range_start, r.range_end), '') AS spans"
+_TWO = f"SELECT l.seqname, l.range_start, l.range_end, {_SPANS} FROM (SELECT rid, seqname, range_start, range_end FROM {BED3}) l LEFT JOIN {BED5} r ON {OV} GROUP BY l.rid, l.seqname, l.range_start, l.range_end"
+
+
+def _spans(left, right, *keep):
+    """Grouped overlaps with ranges that carry no data on the right."""
+    out = join.left_grouped(left, right)
+    text = F.array_join(F.transform("overlaps", lambda x: F.concat(x[START].cast("string"), F.lit("-"), x[END].cast("string"))), ",")
+    return out.select(*keep, SEQ, START, END, text.alias("spans"))
+
+
+@query(_TWO.replace("SELECT l.seqname", "SELECT l.rid, l.seqname", 1))
+def J02_left_overlaps_right_empty(spark, d):
+    return _spans(bed3(spark, d), frame(spark, d, bed5).into_empty().df, "rid")
+
+
+@query(f"SELECT l.seqname, l.range_start, l.range_end, count(r.rid) AS n, sum(r.rid)::BIGINT AS rid_sum FROM {BED3} l LEFT JOIN {BED5} r ON {OV} GROUP BY l.rid, l.seqname, l.range_start, l.range_end")
+def J03_left_overlaps_left_empty(spark, d):
+    out = join.left_grouped(frame(spark, d).into_empty().df, bed5(spark, d).select(SEQ, START, END, "rid"))
+    total = F.when(F.size("overlaps") > 0, F.aggregate("overlaps", F.lit(0).cast("long"), lambda a, x: a + x["rid"]))
+    return out.select(SEQ, START, END, F.size("overlaps").cast("long").alias("n"), total.alias("rid_sum"))
+
+
+@query(_TWO)
+def J04_left_overlaps_both_empty(spark, d):
+    return _spans(frame(spark, d).into_empty().df, frame(spark, d, bed5).into_empty().df)
+
+
+@query(f"SELECT l.rid, count(r.rid) AS n, count(DISTINCT r.feature_name) AS n_names, max(r.score) FILTER (isfinite(r.score)) AS top_score FROM {BED3} l LEFT JOIN {BED5} r ON {OV} GROUP BY l.rid")
+def J05_map_joins_all(spark, d):
+    """Over all rows; only the aggregate leaves non-finite scores out."""
+    x = F.col("r_score")
+    aggs = [F.count(F.lit(1)).alias("n"), F.countDistinct("r_feature_name").alias("n_names"), F.max(F.when(A.finite(x), x)).alias("top_score")]
+    return join.map_overlaps(bed3(spark, d), bed5(spark, d), aggs, fill={"n": 0, "n_names": 0}).select("rid", "n", "n_names", "top_score")
+
+
 @query(f"SELECT l.rid, max(r.score) AS top_score, count(DISTINCT r.feature_name) AS n_names FROM {BED3} l LEFT JOIN (SELECT * FROM {BED5} WHERE isfinite(score)) r ON {OV} GROUP BY l.rid")
 def J05_map_joins(spark, d):
     right = bed5(spark, d).where(A.finite(F.col("score")))
@@ -309,6 +408,20 @@ def J15_disjoin(spark, d):
     return out.select(SEQ, START, END, F.array_join("labels", ",").alias("ids"))
 
 
+_CLIPPED = f"(SELECT l.seqname, l.range_start AS a, l.range_end AS z, greatest(l.range_start, r.range_start) AS s, least(l.range_end, r.range_end) AS e, r.rid FROM (SELECT DISTINCT seqname, range_start, range_end FROM {BED5}) l JOIN {BED3} r ON {OV})"
+
+
+@query(f"""WITH c AS {_CLIPPED}, p AS (SELECT seqname, a, z, s AS p FROM c UNION SELECT seqname, a, z, e FROM c),
+ g AS (SELECT *, lead(p) OVER (PARTITION BY seqname, a, z ORDER BY p) AS q FROM p)
+ SELECT g.seqname, g.a AS left_start, g.z AS left_end, g.p AS range_start, g.q AS range_end, string_agg(DISTINCT c.rid::VARCHAR, ',' ORDER BY c.rid::VARCHAR) AS ids
+ FROM g JOIN c ON g.seqname = c.seqname AND g.a = c.a AND g.z = c.z AND c.s < g.q AND g.p < c.e WHERE g.q IS NOT NULL GROUP BY ALL""")
+def J15_disjoin_within(spark, d):
+    """Segments of the bed3 ranges within each distinct bed5 range, cut off at its bounds."""
+    rows = bed3(spark, d).withColumn("id", F.col("rid").cast("string"))
+    out = disjoin.disjoin_within(bed5(spark, d), rows, "id")
+    return out.select(SEQ, "left_start", "left_end", START, END, F.array_join("labels", ",").alias("ids"))
+
+
 @query(_SEGMENTS[1:-1].replace("SELECT seqname, p AS range_start, q AS range_end", "SELECT seqname, p AS range_start, q AS range_end, depth::BIGINT AS depth", 1))
 def J15_depth(spark, d):
     return disjoin.depth(bed3(spark, d))
@@ -337,6 +450,14 @@ def A08_map(spark, d):
     return _map(spark, d, ["sum", "sum-not-empty", "min", "max", "mean", "median"])
 
 
+@query(_MAP.replace(f"FROM {_windows_sql(MAP_WINDOW, MAP_WINDOW)} l", f"FROM (SELECT DISTINCT seqname, range_start, range_end FROM {BED3}) l"))
+def A08_map_ranges(spark, d):
+    """The map command over ranges of any shape."""
+    left = bed3(spark, d).select(SEQ, START, END).distinct()
+    out = join.map_scores(left, bed5(spark, d), ["sum", "sum-not-empty", "min", "max", "mean", "median"])
+    return out.withColumns({c: digits(F.col(c)) for c in out.columns if c in ("score_sum", "score_sum_not_empty", "score_mean", "score_median")})
+
+
 for _i, _op in enumerate(["sum", "sum-not-empty", "min", "max", "mean", "median"], 1):
     _name, _col = f"A0{_i}_{_op.replace('-', '_')}", "score_" + _op.replace("-", "_")
     QUERIES[_name] = lambda spark, d, op=_op: _map(spark, d, [op])
@@ -402,15 +523,27 @@ def M04_merge_runs(spark, d):
     return merge.merge_runs(rows, 0, "label", [F.count(F.lit(1)).alias("n")], order=["rid"])
 
 
-@query()
+def _fold_sql(near: str) -> str:
+    """The sequential rule by recursion: f is the group so far, r the next row."""
+    return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY seqname ORDER BY range_start, range_end, rid) AS n FROM {BED3}),
+ f AS (SELECT seqname, n, range_start AS first_start, range_end AS group_end, 1 AS g FROM r WHERE n = 1
+  UNION ALL SELECT r.seqname, r.n, CASE WHEN {near} THEN f.first_start ELSE r.range_start END, CASE WHEN {near} THEN greatest(f.group_end, r.range_end) ELSE r.range_end END, CASE WHEN {near} THEN f.g ELSE f.g + 1 END
+  FROM f JOIN r ON r.seqname = f.seqname AND r.n = f.n + 1)
+ SELECT f.seqname, min(r.range_start) AS range_start, max(r.range_end) AS range_end, count(*) AS n FROM f JOIN r ON r.seqname = f.seqname AND r.n = f.n GROUP BY f.seqname, f.g"""
+
+
+_GAP = "r.range_start - least(f.group_end, r.range_end)"
+
+
+@query(_fold_sql(f"{_GAP} <= 0 AND r.range_start - f.first_start < 500"))
 def M04_merge_where(spark, d):
-    """An arbitrary predicate, here on the first row of the group; tested against a fold."""
+    """An arbitrary predicate, here on the first row of the group."""
     return merge.merge_where(bed3(spark, d), 0, lambda first, row: row[START] - first[START] < 500, [F.count(F.lit(1)).alias("n")], order=["rid"])
 
 
-@query()
+@query(_fold_sql(f"{_GAP} <= -5"))
 def M01_merge_overlap(spark, d):
-    """Negative distance, at least 5 shared positions; tested against a fold."""
+    """Negative distance: at least 5 shared positions."""
     return merge.merge(bed3(spark, d), -5, [F.count(F.lit(1)).alias("n")], order=["rid"])
 
 
@@ -448,6 +581,15 @@ def F02_feature_density_exclusive(spark, d):
     return density.feature_density_exclusive(_k3(spark, d), seqlens(spark, d), WINDOW, chop=True)
 
 
+_SETS5 = f"(SELECT l.seqname, l.range_start, l.range_end, string_agg(DISTINCT r.feature, ',' ORDER BY r.feature) AS feature_set FROM {_SEGMENTS.replace(BED3, _FEATURES)} l JOIN {_MERGED} r ON {OV} GROUP BY ALL)"
+
+
+@query(_density_sql(_SETS5, "feature_set"))
+def F02_feature_density_exclusive_bed5(spark, d):
+    """By the features themselves, over all rows that name one."""
+    return density.feature_density_exclusive(bed5(spark, d), seqlens(spark, d), WINDOW)
+
+
 _KMERGED = f"(SELECT seqname, feature, min(range_start) AS range_start, max(range_end) AS range_end FROM {_islands_sql(_K3, 0, 'seqname, feature')} GROUP BY seqname, feature, g)"
 
 
@@ -471,12 +613,13 @@ def O01_sort(spark, d):
     return ordering.with_position(rows, ["ord", SEQ, START, END, "rid"]).select("rid", "position")
 
 
-@query()
+_NATURAL = "regexp_replace(regexp_replace(l.seqname, '([0-9]+)', '000000000000000000\\1', 'g'), '0*([0-9]{18})($|[^0-9])', '\\1\\2', 'g')"
+
+
+@query(f"SELECT rid, row_number() OVER (ORDER BY s.ord IS NULL, s.ord, {_NATURAL}, range_start, range_end, rid) - 1 AS position FROM {BED3} l LEFT JOIN {SEQLENS} s ON l.seqname = s.seqname")
 def O01_sort_all(spark, d):
-    """Position of every range in the order of sort_ranges: names outside the genome come at the end; without SQL."""
-    s = seqlens(spark, d).select(F.col(SEQ).alias("_k"), "ord")
-    rows = lookup_join(bed3(spark, d), s, [SEQ], ["_k"], "left", "rid").withColumns({"_out": F.col("ord").isNull(), "_name": ordering.natural_key(SEQ)})
-    return ordering.with_position(rows, ["_out", "ord", "_name", START, END, "rid"]).select("rid", "position")
+    """Position of every range in the order of sort_ranges: names outside the genome come at the end."""
+    return ordering.range_positions(bed3(spark, d), seqlens(spark, d), "rid").select("rid", "position")
 
 
 @query(f"SELECT feature_name, row_number() OVER (ORDER BY min(rid), feature_name) - 1 AS code FROM {BED5} WHERE feature_name IS NOT NULL GROUP BY feature_name")
@@ -553,7 +696,8 @@ def Q02_numeric_slices(spark, d):
 
 @query(f"SELECT rid, coalesce(CASE WHEN isfinite(score) THEN score END, 0) + 1 AS x FROM {BED5}")
 def N01_array1(spark, d):
-    return bed5(spark, d).select("rid", (F.coalesce(F.when(A.finite(F.col("score")), F.col("score")), F.lit(0.0)) + 1).alias("x"))
+    x = F.coalesce(F.when(A.finite(F.col("score")), F.col("score")), F.lit(0.0)) + 1
+    return sequences.into_array(bed5(spark, d), [x], "v", 1).select("rid", sequences.array_value("v", 0).alias("x"))
 
 
 @query(f"SELECT 0::BIGINT AS position, sum(range_end - range_start)::DOUBLE AS total FROM {BED5} UNION ALL SELECT 1, count(*)::DOUBLE FROM {BED5}")

@@ -6,7 +6,6 @@ import gzip
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,9 +75,12 @@ def write_tsv_folder(df: DataFrame, path: str, config: TsvConfig = BED_TSV, seql
     rows = sort_ranges(df, seqlens) if {"seqname", "range_start", "range_end"} <= set(df.columns) else df
     writer = to_lines(rows, config).write.mode("error")
     (writer.option("compression", "gzip") if compress else writer).text(path)
-    top = _top(config)
-    if top and "://" not in path:
-        Path(path, "_header").write_text("\n".join(top) + "\n")
+    if top := _top(config):  # a file whose name readers of the folder skip, on whatever storage the folder is
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path, "_header")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray(("\n".join(top) + "\n").encode()))
+        out.close()
 
 
 class Report:

@@ -133,3 +133,22 @@ def test_density(spark, ranges, rows, width, step, chop):
     assert density.matrix(long.limit(0), seqlens, width, step, chop, "feature_set").columns == ["seqname", "range_start", "range_end"]
     with pytest.raises(ValueError):
         density.matrix(long, seqlens, width, step, chop, "feature_set", most=1)
+
+
+def test_disjoin_over_one_hot_position(spark):
+    """100,000 ranges of a few labels over one position: pairs grow with labels, not with ranges."""
+    from spanloom.operators.disjoin import disjoin, disjoin_within
+
+    df = spark.range(100_000).select(F.lit("a").alias("seqname"), (F.col("id") % 50).alias("range_start"), F.lit(60).cast("long").alias("range_end"), F.concat(F.lit("k"), F.col("id") % 3).alias("label"))
+    got = disjoin(df, "label").orderBy("range_start").collect()
+    assert len(got) == 50 and [r.labels for r in got[:3]] == [["k0"], ["k0", "k1"], ["k0", "k1", "k2"]]
+    left = spark.createDataFrame([("a", 5, 7), ("a", 5, 7), ("b", 0, 9), ("a", 100, 200)], "seqname string, range_start long, range_end long")
+    within = disjoin_within(left, df, "label").orderBy("range_start").collect()
+    assert [(r.left_start, r.left_end, r.range_start, r.range_end) for r in within] == [(5, 7, 5, 6), (5, 7, 6, 7)]
+
+
+def test_disjoin_null_labels(ranges):
+    from spanloom.operators.disjoin import disjoin
+
+    out = disjoin(ranges([("a", 0, 5, None), ("a", 3, 8, "x"), ("a", 3, 8, "x")], "label string"), "label").orderBy("range_start").collect()
+    assert [(r.range_start, r.range_end, r.labels) for r in out] == [(0, 3, []), (3, 5, ["x"]), (5, 8, ["x"])]

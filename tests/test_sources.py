@@ -133,3 +133,36 @@ def test_random(spark):
     for r in a:
         assert 1 <= r.range_end - r.range_start < 1000 and r.range_start >= 0 and r.range_end <= {"a": 5000, "b": 90_000}[r.seqname]
         assert len(r.feature_name) == 8 and 0 <= r.score < 1
+
+
+def test_fasta_over_many_splits(spark, put):
+    """Sequences that run over several splits, and splits that hold several sequences or none whole."""
+    rng = __import__("random").Random(3)
+    want = {f"s{i}": "".join(rng.choices("ACGT", k=rng.choice([0, 1, 7, 60, 400, 1500]))) for i in range(40)}
+    text = "; no header yet\n" + "".join(f">{k} about > {k}\n" + "".join(v[i : i + 50] + "\n" for i in range(0, len(v), 50)) + "\n" for k, v in want.items())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (97, 333, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            chunks = src.read_fasta(spark, str(put("many.fa", text)), chunk=64).orderBy("seqname", "chunk").collect()
+            got = {}
+            for r in chunks:
+                got[r.seqname] = got.get(r.seqname, "") + r.chunk_text
+                assert r.total == len(want[r.seqname]) and r.chunk == (len(got[r.seqname]) - 1) // 64
+            assert got == {k: v for k, v in want.items() if v}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_gzip_lines_end_at_line_feeds(spark, put, rows):
+    p = put("odd.bed", "a\tb\x0bc\u2028d\x85e\n\x1cf\r\nlast", gz=True)
+    assert rows(txt.read_lines(spark, p)) == [("\x1cf",), ("a\tb\x0bc\u2028d\x85e",), ("last",)]
+
+
+def test_after_preamble_and_scheme(spark, put, rows):
+    p = put("p.tsv", "#a\nchrom\tstart\nchr1\t1\t2\nchr2\t3\t4\n")
+    q = txt.preamble(f"file://{p}", header="chrom")
+    assert (q.metadata, q.header, q.columns) == (["#a"], "chrom\tstart", 3)
+    assert rows(txt.after_preamble(txt.read_lines(spark, p), q)) == [("chr1\t1\t2",), ("chr2\t3\t4",)]
