@@ -23,30 +23,40 @@ SEQLENS_SCHEMA = T.StructType([T.StructField(SEQ, T.StringType()), T.StructField
 GENOME_BROADCAST_ROWS = 200_000
 
 
-_SMALL: OrderedDict[tuple, bool] = OrderedDict()
+_KNOWN: OrderedDict[tuple, object] = OrderedDict()
 
 
-def proved_small(df: DataFrame, rows: int = GENOME_BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows, which a limited count proves.
-
-    A proof is kept for as long as the plan and the files it reads, with their sizes and times, are the same, so that
-    a genome is counted once and not by every operator that looks something up in it.
-    """
+def identity(df: DataFrame) -> tuple | None:
+    """What a table is as long as its plan and the files it reads, with their sizes and times, stay the same; None if it
+    reads anything but files on a disk that the driver sees."""
     files, leaves = [], df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     while leaves.hasNext():
         if not leaves.next().nodeName().startswith("LogicalRelation"):
-            return df.limit(rows + 1).count() <= rows
+            return None
     for f in df.inputFiles():
         place = f.removeprefix("file://")
         if len(files) == 1000 or not os.path.isfile(place):
-            return df.limit(rows + 1).count() <= rows
+            return None
         files.append((f, os.path.getsize(place), os.path.getmtime(place)))
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), rows, tuple(files))
-    if key not in _SMALL:
-        _SMALL[key] = df.limit(rows + 1).count() <= rows
-        while len(_SMALL) > 256:
-            _SMALL.popitem(last=False)
-    return _SMALL[key]
+    return df.sparkSession.sparkContext.applicationId, df.semanticHash(), *files
+
+
+def known(key: tuple | None, what: Callable[[], object]) -> object:
+    """A small fact about tables, such as a count, kept under their identity; found anew where that is None."""
+    if key is None:
+        return what()
+    if key not in _KNOWN:
+        _KNOWN[key] = what()
+        while len(_KNOWN) > 256:
+            _KNOWN.popitem(last=False)
+    return _KNOWN[key]
+
+
+def proved_small(df: DataFrame, rows: int = GENOME_BROADCAST_ROWS) -> bool:
+    """Whether the table has at most ``rows`` rows, which a limited count proves.  The proof is kept, so that a genome is
+    counted once and not by every operator that looks something up in it."""
+    key = identity(df)
+    return known(key and ("rows", rows, key), lambda: df.limit(rows + 1).count() <= rows)
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fact_keys: Sequence[str], dim_keys: Sequence[str], how: str = "left", spread_by: str | None = None, rows: int = GENOME_BROADCAST_ROWS, salts: int = 16, null_safe: bool = False) -> DataFrame:

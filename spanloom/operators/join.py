@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 
 from ..functions import agg as A
 from ..functions.arith import overlap_width, valid_range, window_ids
-from ..model import END, LENGTH, SEQ, START, RangeFrame, lookup_join
+from ..model import END, LENGTH, SEQ, START, RangeFrame, identity, known, lookup_join
 
 #: Bins that a range may touch on one level before it moves to a coarser one, and the growth of bins from level to level.
 MAX_BINS, GROWTH = 16, 64
 
 
 def choose_bin(left: DataFrame, right: DataFrame) -> tuple[int, int]:
-    """(bin width, number of levels) from the widths of both sides: one small aggregate of two numbers."""
+    """(bin width, number of levels) from the widths of both sides: one small aggregate of two numbers, which is kept for
+    as long as both tables stay what they are."""
+    keys = identity(left.select(START, END)), identity(right.select(START, END))
+    return known(("bin", *keys) if all(keys) else None, lambda: _choose_bin(left, right))
+
+
+def _choose_bin(left: DataFrame, right: DataFrame) -> tuple[int, int]:
     w = left.select((F.col(END) - F.col(START)).alias("w")).unionAll(right.select((F.col(END) - F.col(START)).alias("w"))).where("w > 0")
     typical, most = w.agg(F.percentile_approx("w", 0.9, 200), F.max("w")).first()
     b = max(64, int(typical or 64))
@@ -43,9 +49,24 @@ def _own_level(bin_size: int, levels: int) -> Column:
     return out
 
 
-def _bins(df: DataFrame, level: int, bin_size: int) -> DataFrame:
-    b = F.lit(bin_size * GROWTH**level)
-    return df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__s") / b).cast("long"), F.floor((F.col("__e") - 1) / b).cast("long"))))
+def _bins(df: DataFrame, bin_size: int, levels: int, left: bool) -> DataFrame:
+    """Rows spread over the keys (__lv, __bin) where they meet the other side; __b is the bin width there.
+
+    A pair meets on the coarser of its two levels.  On each level there are three kinds of meeting, and a row takes part in
+    those where it belongs: 0, both live there; 1, only the left row does; 2, only the right row.
+    """
+    if levels == 1:
+        rows = df.withColumns({"__lv": F.lit(0), "__b": F.lit(bin_size).cast("long")})
+    else:
+        df = df.withColumn("__own", _own_level(bin_size, levels))
+        keys = [F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(bin_size * GROWTH**k).cast("long").alias("b")) for k in range(levels) for kind in range(3)]
+        here, below = (1, 2) if left else (2, 1)
+        rows = df.withColumn("__k", F.explode(F.array(*keys)))
+        lives = (F.col("__own") == F.col("__k.k")) & F.col("__k.kind").isin(0, here)
+        rows = rows.where(lives | (F.col("__own") < F.col("__k.k")) & (F.col("__k.kind") == below))
+        rows = rows.withColumns({"__lv": F.col("__k.k") * 3 + F.col("__k.kind"), "__b": F.col("__k.b")}).drop("__k", "__own")
+    first, last = (F.floor(x / F.col("__b")).cast("long") for x in (F.col("__s"), F.col("__e") - 1))
+    return rows.withColumn("__bin", F.explode(F.sequence(first, last)))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, bin_size: int | None = None, levels: int | None = None, right_prefix: str = "r_", exists: bool = False) -> DataFrame:
@@ -67,25 +88,12 @@ def overlap_pairs(left: DataFrame, right: DataFrame, bin_size: int | None = None
     rs = right.where(valid_range(START, END) & F.col(SEQ).isNotNull())
     rs = rs.select(*[F.col(c).alias(right_prefix + c) for c in right.columns], F.col(SEQ).alias("__rq"), F.col(START).cast("long").alias("__s"), F.col(END).cast("long").alias("__e"))
     keep = left.columns if exists else [*left.columns, *[right_prefix + c for c in right.columns]]
-    if levels == 1:
-        return _meet(_bins(ls, 0, bin_size), _bins(rs, 0, bin_size), bin_size, keep, exists)
-    own = _own_level(bin_size, levels)
-    ls, rs, out = ls.withColumn("__lv", own), rs.withColumn("__lv", own), None
-    for k in range(levels):  # a pair meets on the coarser of its two levels
-        b = bin_size * GROWTH**k
-        at = _meet(_bins(ls.where(F.col("__lv") == k), k, bin_size), _bins(rs.where(F.col("__lv") <= k), k, bin_size), b, keep, exists)
-        if k:
-            at = at.unionAll(_meet(_bins(ls.where(F.col("__lv") < k), k, bin_size), _bins(rs.where(F.col("__lv") == k), k, bin_size), b, keep, exists))
-        out = at if out is None else out.unionAll(at)
-    return out
-
-
-def _meet(lb: DataFrame, rb: DataFrame, b: int, keep: Sequence[str], exists: bool) -> DataFrame:
-    rb = rb.withColumnsRenamed({"__s": "__rs", "__e": "__re", "__bin": "__rbin"})
-    on = (lb[SEQ] == rb["__rq"]) & (lb["__bin"] == rb["__rbin"]) & (lb["__s"] < rb["__re"]) & (rb["__rs"] < lb["__e"])
+    lb = _bins(ls, bin_size, levels, True)
+    rb = _bins(rs, bin_size, levels, False).drop("__b").withColumnsRenamed({"__s": "__rs", "__e": "__re", "__bin": "__rbin", "__lv": "__rlv"})
+    on = (lb[SEQ] == rb["__rq"]) & (lb["__lv"] == rb["__rlv"]) & (lb["__bin"] == rb["__rbin"]) & (lb["__s"] < rb["__re"]) & (rb["__rs"] < lb["__e"])
     if exists:
         return lb.join(rb, on, "left_semi").select(*keep)
-    on &= F.floor(F.greatest(lb["__s"], rb["__rs"]) / F.lit(b)) == lb["__bin"]
+    on &= F.floor(F.greatest(lb["__s"], rb["__rs"]) / lb["__b"]) == lb["__bin"]
     return lb.join(rb, on).select(*keep)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import END, SEQ, START
-from .islands import STRIPE, assign_islands, shape_islands, stripe_of, valid_rows
+from .islands import STRIPE, assign_islands, stripe_of, valid_rows
+from .periods import periods
 
 
 def merge(df: DataFrame, distance: int = 0, aggregates: Sequence[Column] = (), keys: Sequence[str] = (SEQ,), stripe: int = STRIPE, order: Sequence[str] = ()) -> DataFrame:
@@ -19,10 +20,10 @@ def merge(df: DataFrame, distance: int = 0, aggregates: Sequence[Column] = (), k
     positions with the row before.  Order is (start, end, *order).  Invalid rows are left out; no rows give none.
     """
     keys = list(keys)
-    if distance >= 0 and not aggregates:  # without payload the distinct starts are enough
-        shape = valid_rows(df, keys).groupBy(*keys, START).agg(F.max(END).alias(END))
-        rows = shape_islands(shape, distance, keys, stripe, "_island")
-    elif distance >= 0:
+    if distance >= 0 and not aggregates:  # without payload they are the periods of ranges that reach so much further
+        far = periods(valid_rows(df, keys).select(*keys, START, (F.col(END) + F.lit(distance)).alias(END)), keys, stripe)
+        return far.select(*keys, START, (F.col(END) - F.lit(distance)).alias(END))
+    if distance >= 0:
         rows = assign_islands(df, distance, keys, stripe, "_island")
     else:
         rows = fold_islands(df, distance, keys, stripe, order)

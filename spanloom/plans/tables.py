@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arith import valid_range
-from ..model import END, SEQ, START
+from ..model import END, SEQ, START, known
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder; its schema is read from the files once for as long as they stay the same."""
+    path = f"{folder}/{name}.parquet"
+    files = [] if "://" in path else [Path(path)] if Path(path).is_file() else sorted(Path(path).rglob("*.parquet"))
+    if not 0 < len(files) <= 1000:
+        return spark.read.parquet(path)
+    key = "schema", path, *((str(f), f.stat().st_size, f.stat().st_mtime) for f in files)
+    return spark.read.schema(known(key, lambda: spark.read.parquet(path).schema)).parquet(path)
 
 
 def valid(df: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def test_disjoin_over_one_hot_position(spark):
 
     df = spark.range(100_000).select(F.lit("a").alias("seqname"), (F.col("id") % 50).alias("range_start"), F.lit(60).cast("long").alias("range_end"), F.concat(F.lit("k"), F.col("id") % 3).alias("label"))
     got = disjoin(df, "label").orderBy("range_start").collect()
-    assert len(got) == 50 and [r.labels for r in got[:3]] == [["k0"], ["k0", "k1"], ["k0", "k1", "k2"]]
+    assert len(got) == 50 and all(r.labels == ["k0", "k1", "k2"] for r in got)
     left = spark.createDataFrame([("a", 5, 7), ("a", 5, 7), ("b", 0, 9), ("a", 100, 200)], "seqname string, range_start long, range_end long")
     within = disjoin_within(left, df, "label").orderBy("range_start").collect()
     assert [(r.left_start, r.left_end, r.range_start, r.range_end) for r in within] == [(5, 7, 5, 6), (5, 7, 6, 7)]
