@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arith import overlap_width, window_ids
 from ..model import END, LENGTH, SEQ, START, RangeFrame, lookup_join
+from ..session import cut_lineage
 from .disjoin import disjoin
 from .merge import merge
 
@@ -39,7 +40,7 @@ def feature_density(df: DataFrame, seqlens: DataFrame, width: int, step: int | N
 def feature_density_exclusive(df: DataFrame, seqlens: DataFrame, width: int, step: int | None = None, chop: bool = False, feature: str = "feature_name", **kw) -> DataFrame:
     """Long form keyed by the set of features (sorted, comma-joined) that cover a position, each position once."""
     apart = merge(df.where(F.col(feature).isNotNull()).select(SEQ, START, END, F.col(feature).alias("feature")), 0, keys=(SEQ, "feature"))
-    segs = disjoin(apart, "feature", merged=True, **kw)
+    segs = disjoin(cut_lineage(apart), "feature", merged=True, **kw)  # used by the segments and by the pairs
     segs = segs.select(SEQ, START, END, F.array_join("labels", ",").alias("feature_set"))
     return _to_windows(segs, seqlens, width, step or width, chop, ["feature_set"])
 

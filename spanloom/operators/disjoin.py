@@ -56,11 +56,11 @@ def disjoin(df: DataFrame, label: str, name: str = "labels", bin_size: int | Non
     return pairs.groupBy(SEQ, START, END).agg(F.array_sort(F.collect_set("r_label")).alias(name))
 
 
-def disjoin_within(left: DataFrame, right: DataFrame, label: str, name: str = "labels", **kw) -> DataFrame:
+def disjoin_within(left: DataFrame, right: DataFrame, label: str, name: str = "labels", merged: bool = False, **kw) -> DataFrame:
     """(seqname, left_start, left_end, range_start, range_end, labels): for each distinct left range, the elementary
     segments of the right ranges that overlap it, cut off at its bounds.  Left ranges without overlaps give no rows."""
     pairs = overlap_pairs(left.select(SEQ, START, END).distinct(), right.select(SEQ, START, END, F.col(label).alias("label")), **kw)
     at = F.struct(F.col(SEQ).alias("q"), F.col(START).alias("s"), F.col(END).alias("e"))
     clipped = pairs.select(at.alias(SEQ), F.greatest(START, f"r_{START}").alias(START), F.least(END, f"r_{END}").alias(END), F.col("r_label").alias("label"))
-    out = disjoin(clipped, "label", name)
+    out = disjoin(clipped, "label", name, merged=merged)
     return out.select(F.col(f"{SEQ}.q").alias(SEQ), F.col(f"{SEQ}.s").alias("left_start"), F.col(f"{SEQ}.e").alias("left_end"), START, END, name)

@@ -404,7 +404,7 @@ _SEGMENTS = f"""(SELECT seqname, p AS range_start, q AS range_end FROM (SELECT s
 
 @query(f"SELECT l.seqname, l.range_start, l.range_end, string_agg(r.rid::VARCHAR, ',' ORDER BY r.rid) AS ids FROM {_SEGMENTS} l JOIN {BED3} r ON {OV} GROUP BY ALL")
 def J15_disjoin(spark, d):
-    out = disjoin.disjoin(bed3(spark, d), "rid")
+    out = disjoin.disjoin(bed3(spark, d), "rid", merged=True)  # a rid is one range
     return out.select(SEQ, START, END, F.array_join("labels", ",").alias("ids"))
 
 
@@ -418,7 +418,7 @@ _CLIPPED = f"(SELECT l.seqname, l.range_start AS a, l.range_end AS z, greatest(l
 def J15_disjoin_within(spark, d):
     """Segments of the bed3 ranges within each distinct bed5 range, cut off at its bounds."""
     rows = bed3(spark, d).withColumn("id", F.col("rid").cast("string"))
-    out = disjoin.disjoin_within(bed5(spark, d), rows, "id")
+    out = disjoin.disjoin_within(bed5(spark, d), rows, "id", merged=True)
     return out.select(SEQ, "left_start", "left_end", START, END, F.array_join("labels", ",").alias("ids"))
 
 
