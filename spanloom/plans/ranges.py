@@ -418,8 +418,7 @@ _CLIPPED = f"(SELECT l.seqname, l.range_start AS a, l.range_end AS z, greatest(l
 def J15_disjoin_within(spark, d):
     """Segments of the bed3 ranges within each distinct bed5 range, cut off at its bounds."""
     rows = bed3(spark, d).withColumn("id", F.col("rid").cast("string"))
-    out = disjoin.disjoin_within(bed5(spark, d), rows, "id", merged=True)
-    return out.select(SEQ, "left_start", "left_end", START, END, F.array_join("labels", ",").alias("ids"))
+    return disjoin.disjoin_within(bed5(spark, d), rows, "id", "ids", shape=lambda labels: F.array_join(labels, ","))
 
 
 @query(_SEGMENTS[1:-1].replace("SELECT seqname, p AS range_start, q AS range_end", "SELECT seqname, p AS range_start, q AS range_end, depth::BIGINT AS depth", 1))

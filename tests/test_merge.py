@@ -152,3 +152,56 @@ def test_disjoin_null_labels(ranges):
 
     out = disjoin(ranges([("a", 0, 5, None), ("a", 3, 8, "x"), ("a", 3, 8, "x")], "label string"), "label").orderBy("range_start").collect()
     assert [(r.range_start, r.range_end, r.labels) for r in out] == [(0, 3, []), (3, 5, ["x"]), (5, 8, ["x"])]
+
+
+@pytest.mark.parametrize("stripe", [1, 7, 64, None])
+@pytest.mark.parametrize("few", [False, True])
+def test_disjoin_within_forms_no_pairs_and_shuffles_each_side_once(ranges, stripe, few, monkeypatch):
+    """Against brute force, with nulls, repeated and long ranges, cut at many stripes and taken in small pieces."""
+    from spanloom.operators import disjoin
+
+    if few:
+        monkeypatch.setattr(disjoin, "ROWS", 3)
+        monkeypatch.setattr(disjoin, "PAIRS", 5)
+        monkeypatch.setattr(disjoin, "LEFTS", 2)
+    rng = random.Random(f"{stripe}{few}")
+    near = lambda n, wide: [(rng.choice("abc"), s, s + rng.randint(1, rng.choice((3, wide)))) for s in (rng.randint(-20, 90) for _ in range(n))]
+    odd = [(None, 1, 5), ("a", None, 5), ("a", 5, 5), ("a", 9, 2)]
+    left, right = near(60, 200), [(*r, rng.choice([None, "x", "y", "é", "10", "9"])) for r in [*near(40, 60), *near(5, 150)]]
+    left, right = [*left, *left[:9], *odd, ("left only", 0, 9)], [*right, *right[:9], *[(*r, "z") for r in odd], ("right only", 0, 9, "x")]
+    want = {}
+    for q, a, z in set(left):
+        held = [(max(a, s), min(z, e), k) for n, s, e, k in right if n is not None and n == q and None not in (a, s) and a < z and s < e and s < z and a < e]
+        cuts = sorted({x for s, e, _ in held for x in (s, e)})
+        for p, x in zip(cuts, cuts[1:]):
+            if any(s < x and p < e for s, e, _ in held):
+                want[q, a, z, p, x] = sorted({k for s, e, k in held if s < x and p < e and k is not None})
+    out = disjoin.disjoin_within(ranges(left), ranges(right, "k string"), "k", stripe=stripe)
+    got = out.collect()
+    assert len(got) == len(want) and {tuple(r[:5]): r[5] for r in got} == want
+    assert out.columns == ["seqname", "left_start", "left_end", "range_start", "range_end", "labels"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_disjoin_within_labels_of_any_type(spark, ranges):
+    from spanloom.operators.disjoin import disjoin_within
+
+    left, nan = ranges([("a", 0, 10)]), float("nan")
+    for kind, labels in (("double", [nan, 2.0, nan, 10.0]), ("int", [3, 2, 3, 10]), ("struct<u:int,v:string>", [(2, "b"), (1, "z"), (2, "b"), (10, "a")])):
+        out = disjoin_within(left, ranges([("a", i, 9, x) for i, x in enumerate(labels)], f"k {kind}"), "k", stripe=4).orderBy("range_start").collect()
+        assert [(r.range_start, r.range_end, len(r.labels)) for r in out] == [(0, 1, 1), (1, 2, 2), (2, 3, 2), (3, 9, 3)]
+        last = [tuple(x) if kind.startswith("struct") else x for x in out[-1].labels]
+        assert last[:2] == sorted({labels[1], labels[3 if kind == "double" else 0]}) and (last[2] == labels[3] or last[2] != last[2])
+    assert disjoin_within(left, ranges([], "k int"), "k").collect() == [] == disjoin_within(ranges([]), ranges([("a", 0, 1, 2)], "k int"), "k").collect()
+
+
+def test_disjoin_within_one_label_of_many_ranges(spark):
+    """20,000 ranges of one label with 40,000 bounds: what is formed grows with the labels over a segment, not with the ranges."""
+    from spanloom.operators.disjoin import disjoin_within
+
+    n = 20_000
+    right = spark.range(n).select(F.lit("a").alias("seqname"), F.col("id").alias("range_start"), (3 * n - F.col("id")).alias("range_end"), F.lit("x").alias("k"))
+    left = spark.createDataFrame([("a", 0, 4 * n)], "seqname string, range_start long, range_end long")
+    out = disjoin_within(left, right, "k", stripe=8 * n)
+    assert out.count() == 2 * n - 1 and out.where("labels <> array('x')").count() == 0
